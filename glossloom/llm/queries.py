@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossloom.llm import chat, mixing, pii, secrets, sharding
+from glossloom.llm import chat, decontam, mixing, pii, secrets, sharding
 from glossloom.llm.common import read_table, small_batches, written
 
 SHARDS = 40
@@ -43,6 +43,18 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[count_of("private", k) for k in pii.KINDS[:4]], F.sha2(digest_text("private", pii.KINDS[:4]), 256).alias("base_sha256"), digest_text("private").alias("spans"), count_of("private", "term"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return got.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontam.is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -61,6 +73,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_secret_scans": op1_secret_scans,
+        "op2_decontamination": op2_decontamination,
         "op3_sharding": op3_sharding,
         "op4_chat_formatting": op4_chat_formatting,
         "op6_pii": op6_pii,
@@ -86,5 +99,33 @@ FROM lossy GROUP BY conv_id
 """
 
 
+OP2_SQL = r"""
+WITH low AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS t
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM item WHERE len(w) > 0)
+), pos AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM low
+), lens AS (SELECT DISTINCT n FROM win),
+occ AS (
+  SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS t FROM pos, lens WHERE p + n - 1 <= len(w)
+), hit AS (
+  SELECT o.doc_id, o.p, o.n, win.item_id FROM occ o JOIN win ON o.t = win.t AND o.n = win.n
+), words AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM hit)) GROUP BY doc_id
+), its AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT low.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM low LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_formatting": OP4_SQL}
+    return {"op2_decontamination": OP2_SQL, "op4_chat_formatting": OP4_SQL}
