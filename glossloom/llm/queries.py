@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossloom.llm import chat, decontam, mixing, pii, secrets, sharding
+from glossloom.llm import chat, decontam, mixing, pii, secrets, sharding, simhash_dedup
 from glossloom.llm.common import read_table, small_batches, written
 
 SHARDS = 40
@@ -64,6 +64,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.number_slots(written(got, "shards"), "shard", ["doc_id", "text_crc32", "size", "grown_shard"]).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(mixing.sample_keys(read_table(spark, sf_dir, "documents")), "mix")
     targets = mixing.source_targets(rows, "source", "size", MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
@@ -77,6 +82,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op4_chat_formatting": op4_chat_formatting,
         "op6_pii": op6_pii,
+        "op7_simhash_dedup": op7_simhash_dedup,
         "op9_mixing": op9_mixing,
     }
 
