@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from glossloom.llm import chat, decontam, mixing, pii, secrets, sharding, simhash_dedup
+from glossloom.llm import chat, decontam, fingerprint, mixing, pii, secrets, sharding, simhash_dedup
 from glossloom.llm.common import read_table, small_batches, written
 
 SHARDS = 40
@@ -75,6 +76,32 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, "size", "source", "key", targets, ["doc_id", "size"]).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One shuffle of the texts: fingerprints and neighbours are worked out in each range of ids."""
+    d = fingerprint.by_descending_id(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), half)))
+    # the digest goes along as numbers, which Spark can aggregate by hash
+    sha = F.sha2("edited", 256)
+    parts = [f"sha{i}" for i in range(8)]
+    d = d.select("rng", "rn", "last", "doc_id", n.cast("long").alias("n_chars"), sha.alias("sha"), "text", "edited")
+    d = d.select("rng", "rn", "last", "doc_id", "n_chars", *[F.conv(F.substring("sha", 8 * i + 1, 8), 16, 10).cast("long").alias(parts[i]) for i in range(8)], F.posexplode(F.array("text", "edited")).alias("side", "t"))
+    rest = ["last", "doc_id", "n_chars", *parts]
+    fps = fingerprint.fingerprints(d, ["rng", "rn", "side"], "t", rest)
+    one = fps.groupBy("rng", "rn").agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"), *[F.max(c).alias(c) for c in rest])
+    one = one.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("rng").orderBy("rn"))).filter("last = 0")
+    return one.select(
+        "doc_id",
+        "n_chars",
+        F.concat(*[F.lower(F.lpad(F.hex(p), 8, "0")) for p in parts]).alias("edited_sha256"),
+        fingerprint.fp_hex(F.col("fp")).alias("fingerprint"),
+        fingerprint.fp_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
+        fingerprint.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_secret_scans": op1_secret_scans,
@@ -84,6 +111,7 @@ def queries() -> dict:
         "op6_pii": op6_pii,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op9_mixing": op9_mixing,
+        "op10_fingerprints": op10_fingerprints,
     }
 
 
