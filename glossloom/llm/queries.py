@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossloom.llm import chat, decontam, fingerprint, mixing, pii, secrets, sharding, simhash_dedup
+from glossloom.llm import chat, decontam, fingerprint, knlm, mixing, pii, quality, secrets, sharding, simhash_dedup
 from glossloom.llm.common import read_table, small_batches, written
 
 SHARDS = 40
@@ -38,6 +38,14 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_digests(turns.unionByName(probe))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = knlm.train(docs.filter(~knlm.is_held_out(F.col("doc_id"))))
+    got = knlm.with_scores(docs, model)
+    return got.select("doc_id", knlm.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     got = pii.with_private_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "private")
@@ -70,6 +78,14 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = read_table(spark, sf_dir, "documents")
+    heads = quality.fit(docs, read_table(spark, sf_dir, "labels"))
+    got = quality.classify(docs.select("doc_id", "text", "lang", "source"), heads)
+    return got.select("doc_id", F.col("p.quality").alias("p_quality"), F.col("p.toxic").alias("p_toxic"), quality.is_kept().alias("kept"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = written(mixing.sample_keys(read_table(spark, sf_dir, "documents")), "mix")
     targets = mixing.source_targets(rows, "source", "size", MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
@@ -108,8 +124,10 @@ def queries() -> dict:
         "op2_decontamination": op2_decontamination,
         "op3_sharding": op3_sharding,
         "op4_chat_formatting": op4_chat_formatting,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_pii": op6_pii,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
     }
