@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossloom.llm import queries as q
-from glossloom.llm.common import new_dir
+from glossloom.llm import stages
+from glossloom.llm.common import new_dir, read_table
 
-STAGES: list = []
+STAGES = [
+    ("quality", stages.quality_stage),
+    ("near_dedup", stages.dedup_stage),
+    ("decontamination", stages.decontamination_stage),
+    ("mixing", stages.mixing_stage),
+    ("sharding", stages.sharding_stage),
+]
 #: The classifier is fitted and the fingerprints use XXH64, which DuckDB's SQL lacks.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = q.read_table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         at = new_dir(spark, name)
         stage(spark, docs, sf_dir).write.parquet(at)

@@ -102,8 +102,8 @@ def mix(df: DataFrame, size: str, source: str, key: str, targets: DataFrame, tie
     return whole.select(*df.columns, "source_size", "target", "taken").unionByName(cut.select(*df.columns, "source_size", "target", "taken"))
 
 
-def sample_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None) -> DataFrame:
-    """doc_id, source, size and the Efraimidis-Spirakis key of each row. Repeated ids with other texts get other keys."""
+def sample_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, carry, source, size and the Efraimidis-Spirakis key of each row. Repeated ids with other texts get other keys."""
     q = quality if quality is not None else text_quality(F.col(text))
     q = F.greatest(F.lit(LEAST_QUALITY), F.coalesce(q, F.lit(LEAST_QUALITY)))
-    return docs.select(F.col(doc_id), F.col(source), word_count(F.col(text)).alias("size"), (-F.log(uniform(F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit(""))))) / q).alias("key"))
+    return docs.select(F.col(doc_id), *carry, F.col(source), word_count(F.col(text)).alias("size"), (-F.log(uniform(F.col(doc_id), F.md5(F.coalesce(F.col(text), F.lit(""))))) / q).alias("key"))

@@ -8,10 +8,8 @@ from pyspark.sql.window import Window
 
 from glossloom.llm import chat, decontam, fingerprint, knlm, mixing, pii, quality, secrets, sharding, simhash_dedup
 from glossloom.llm.common import read_table, small_batches, written
+from glossloom.llm.stages import MIX_MOST, MIX_SHARE, MIX_WEIGHTS, SHARDS
 
-SHARDS = 40
-MIX_WEIGHTS = (3.0, 1.0, 2.0)
-MIX_SHARE, MIX_MOST = 1.5, 2.0
 
 
 def digest_text(spans: str, kinds: tuple[str, ...] = ()) -> Column:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import new_dir, own_name, written
+from glossloom.llm.common import new_dir, written
 
 RADIUS = 3
 BLOCKS = 6
@@ -214,15 +214,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
-    """One row for each row of df: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
-    rows = written(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle).select("doc_id", "fp"), "fingerprints")
-    smallest = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+def component_roots(smallest: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """fp, root (a fingerprint that names the component), component_id, for a table of different fingerprints with the
+    smallest id of each (fp, least_id)."""
     smallest = written(smallest, "distinct")
     roots = components(fingerprint_links(smallest.select("fp"), radius))
     placed = smallest.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    # components with links only: what has none keeps its own smallest id
-    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    per_fp = placed.select("fp", "root").join(named, "root").select(F.col("fp").alias("f"), "component_id")
-    name = own_name(rows, "fingerprint")
-    return rows.join(per_fp, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias(name), "component_id")
+    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id")).withColumnRenamed("root", "r")
+    return placed.join(named, F.col("root") == F.col("r")).select("fp", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+    """One row for each row of df: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
+    rows = written(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle).select("doc_id", "fp"), "fingerprints")
+    per_fp = component_roots(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), radius).withColumnRenamed("fp", "f")
+    return rows.join(per_fp, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
