@@ -15,6 +15,7 @@ whole; an empty table has no entities, no flagged terms and no rows; other colum
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -105,8 +106,6 @@ def contexts(text: str | None, context: int = CONTEXT) -> list[dict]:
     words = [m for m in WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, b, _ in spans)]
     starts = [m.start() for m in words]
     out = []
-    import bisect
-
     for a, b, kind in spans:
         left = bisect.bisect_left(starts, a)
         near = [m[0].lower() for m in words[max(0, left - context) : left + context]]
@@ -138,6 +137,16 @@ def with_terms(df: DataFrame, text: str, terms: dict[str, str], old: str | None,
     return df.withColumn(out, scan(F.col(text), prior))
 
 
+def terms_in(wanted: set[str]):
+    """A function for the wanted terms of a text."""
+
+    @F.pandas_udf("array<string>")
+    def has(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted(wanted & {w.lower() for w in WORD.findall(t)}) if t else [] for t in texts])
+
+    return has
+
+
 def disclosing_terms(df: DataFrame, text: str = "text", context: int = CONTEXT, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """One row for each term that discloses an entity: term, bits, p (the largest over entities), act."""
 
@@ -151,14 +160,9 @@ def disclosing_terms(df: DataFrame, text: str = "text", context: int = CONTEXT,
     pairs = met.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
     pairs = written(pairs, "pairs")
     candidates = pairs.select("term").distinct().withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, -(-pairs.count() // BLOCK_TERMS)))))
-    n_texts, counts = None, None
+    counts = None
     for words in term_blocks(candidates):
-        wanted = {w for (w,) in words}
-
-        @F.pandas_udf("array<string>")
-        def has(texts: pd.Series, wanted: set = wanted) -> pd.Series:
-            return pd.Series([sorted(wanted & {w.lower() for w in WORD.findall(t)}) if t else [] for t in texts])
-
+        has = terms_in({w for (w,) in words})
         got = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.explode(has(F.col(text))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
         counts = got if counts is None else counts.unionByName(got)
     if counts is None:
