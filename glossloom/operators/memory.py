@@ -132,7 +132,7 @@ def evict_oldest(memory: DataFrame, capacity: int = CAPACITY, trim_to: int = TRI
 
 def realign_numbered(reply: Column, n: Column) -> Column:
     """The n texts of a reply of lines "[k] text", by number; a missing one is empty."""
-    found = F.map_from_entries(
-        F.transform(F.array_distinct(F.regexp_extract_all(reply, F.lit("(?m)^\\s*\\[([0-9]+)\\]"), F.lit(1))), lambda k: F.struct(k.cast("int").alias("key"), F.regexp_extract(F.concat(F.lit("\n"), reply), F.concat(F.lit("\\n\\s*\\["), k, F.lit("\\][ \\t]*([^\\n]*)")), F.lit(1)).alias("value")))
-    )
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.try_element_at(found, i.cast("int")), F.lit("")))
+    line = F.lit("(?m)^\\s*\\[([0-9]+)\\][ \\t]*([^\\n]*)")
+    numbers = F.transform(F.regexp_extract_all(reply, line, F.lit(1)), lambda k: k.cast("int"))
+    texts = F.regexp_extract_all(reply, line, F.lit(2))
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.get(texts, F.array_position(numbers, i).cast("int") - 1), F.lit("")))

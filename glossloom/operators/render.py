@@ -89,6 +89,8 @@ def rebuild(files: DataFrame, units: DataFrame, mode: str = "translated") -> Dat
     Positions are those in the original line, so replacing one copy of a string doesn't move the others. Units need
     file, line_index, occurrence, original, raw, translated, ex, tags.
     """
+    if mode == "original":
+        return files.select("file", "text")
     text = files.select("file", F.split("text", "\\r?\\n").alias("ls"), F.regexp_extract_all("text", F.lit("\\r?\\n"), F.lit(0)).alias("ends"))
     rows = text.select("file", F.posexplode(F.transform("ls", lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get("ends", i), F.lit("")).alias("end")))).alias("line_index", "l")).select("file", "line_index", "l.*")
     held = units.groupBy("file", "line_index").agg(F.collect_list(F.struct("occurrence", "original", "raw", "translated", "ex", "tags")).alias("us"))
