@@ -52,7 +52,7 @@ def char_class(text: str) -> str:
 
 def entropy_windows(text: str, window: int, threshold: float) -> Iterator[tuple[int, int]]:
     """Unions of the windows whose entropy reaches the threshold, as (start, end)."""
-    plogp = [0.0] + [c * math.log2(c) for c in range(1, window + 1)]
+    plogp = [0.0] + [c * math.log2(c) for c in range(1, window + 2)]
     counts: dict[str, int] = {}
     total, first, last = 0.0, -1, -1
     enough = window * (math.log2(window) - threshold) + 1e-9
