@@ -125,33 +125,38 @@ def yaml_matches(line: Column) -> Column:
 
 
 MATCHERS: dict[str, Callable[[Column], Column]] = {"plain": plain_matches, "json": json_matches, "ini": ini_matches, "srt": srt_matches, "ass": ass_matches, "rpy": rpy_matches, "ks": ks_matches, "yaml": yaml_matches, "csv": lambda line: nothing()}
-#: Formats whose lines hold at most one unit.
-SINGLE = {"plain", "ini", "srt", "ass", "yaml", "csv"}
+
+
+def numbered(found: Column) -> Column:
+    """Each match with the number of earlier ones in the line that have its raw string."""
+    same = lambda m, i: F.size(F.filter(F.slice(found, F.lit(1), i), lambda x: x["raw"] == m["raw"]))
+    return F.transform(found, lambda m, i: F.struct(m.alias("m"), F.when(i == 0, 0).otherwise(same(m, i)).alias("occurrence")))
+
+
+def units_of(rows: DataFrame, matches: Column, ex: Column, target: str, skip_pure_han: Column) -> DataFrame:
+    """The units of lines (file, line_index, line and what the columns need)."""
+    found = F.filter(matches, lambda m: (m["original"] != "") & is_translatable(m["original"], target, skip_pure_han))
+    rows = rows.select("file", "line_index", ex.alias("ex"), found.alias("found")).filter(F.size("found") > 0)
+    rows = rows.select("file", "line_index", "ex", F.explode(numbered(F.col("found"))).alias("u"))
+    return rows.select("file", "line_index", F.col("u.occurrence").alias("occurrence"), "u.m.original", "u.m.raw", "ex", "u.m.tags", "u.m.quote")
 
 
 def extract(files: DataFrame, fmt: str, target: str = "zh-CN", skip_pure_han: bool | Column = False) -> DataFrame:
     """The units of files of one format."""
-    found = F.filter(MATCHERS[fmt](F.col("line")), lambda m: (m["original"] != "") & is_translatable(m["original"], target, skip_pure_han))
-    rows = lines(files).select("file", "line_index", found.alias("found"))
-    if fmt not in SINGLE:
-        same = lambda m, i: F.size(F.filter(F.slice(F.col("found"), F.lit(1), i), lambda x: x["raw"] == m["raw"]))
-        rows = rows.filter(F.size("found") > 0).withColumn("found", F.transform("found", lambda m, i: F.struct(m.alias("m"), F.when(i == 0, 0).otherwise(same(m, i)).alias("occurrence"))))
-        rows = rows.select("file", "line_index", F.explode("found").alias("u")).select("file", "line_index", F.col("u.occurrence").alias("occurrence"), "u.m.*")
-    else:
-        rows = rows.select("file", "line_index", F.lit(0).alias("occurrence"), F.explode("found").alias("m")).select("file", "line_index", "occurrence", "m.*")
-    return rows.select("file", "line_index", "occurrence", "original", "raw", F.lit(fmt).alias("ex"), "tags", "quote")
+    skip = skip_pure_han if isinstance(skip_pure_han, Column) else F.lit(skip_pure_han)
+    return units_of(lines(files), MATCHERS[fmt](F.col("line")), F.lit(fmt), target, skip)
 
 
 def extract_files(files: DataFrame, target: str = "zh-CN") -> DataFrame:
-    """The units of files of any text format. Files without an extractor have none. GBK files skip lines of Han only."""
-    gbk = F.col("encoding") == "gbk" if "encoding" in files.columns else F.lit(False)
-    routed = files.withColumn("fmt", format_of(F.col("file"))).filter(F.col("fmt").isNotNull()).withColumn("gbk", gbk)
-    out = None
+    """The units of files of any text format, in one pass. Files without an extractor have none. GBK files skip lines of
+    Han only."""
+    gbk = F.coalesce(F.col("encoding") == "gbk", F.lit(False)) if "encoding" in files.columns else F.lit(False)
+    routed = files.select("file", "text", format_of(F.col("file")).alias("fmt"), gbk.alias("gbk")).filter(F.col("fmt").isNotNull() & (F.col("fmt") != "csv"))
+    matches = F.when(F.col("fmt") == "plain", plain_matches(F.col("line")))
     for fmt in EXTRACTORS:
-        for skip in (False, True) if "encoding" in files.columns else (False,):
-            part = extract(routed.filter((F.col("fmt") == fmt) & (F.coalesce(F.col("gbk"), F.lit(False)) == skip)), fmt, target, skip)
-            out = part if out is None else out.unionByName(part)
-    return out
+        if fmt not in ("plain", "csv"):
+            matches = matches.when(F.col("fmt") == fmt, MATCHERS[fmt](F.col("line")))
+    return units_of(lines(routed, "fmt", "gbk"), matches, F.col("fmt"), target, F.col("gbk"))
 
 
 def unit_id(df: DataFrame) -> Column:
