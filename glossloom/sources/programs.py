@@ -45,7 +45,7 @@ class Image:
 
     def __init__(self, data: bytes) -> None:
         self.data = data
-        if data[:2] != b"MZ":
+        if len(data) < 64 or data[:2] != b"MZ":
             raise ValueError("no DOS header")
         pe = self.at("<I", 0x3C)
         if data[pe : pe + 4] != b"PE\0\0":

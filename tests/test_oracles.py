@@ -6,8 +6,11 @@ import os
 import duckdb
 import pytest
 
+from glossloom.plans import more_queries
 from glossloom.plans import queries as text_queries
 
+QUERIES = text_queries.queries() | more_queries.queries()
+ORACLES = text_queries.oracle_sql() | more_queries.oracle_sql()
 SF = "/root/testdata/sf0.001"
 
 
@@ -29,11 +32,11 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(text_queries.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, name):
-    df = text_queries.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = [tuple(r) for r in df.collect()]
-    want = duck.execute(text_queries.oracle_sql()[name])
+    want = duck.execute(ORACLES[name])
     names = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(names)
     assert rows(df.columns, got) == rows(names, want.fetchall())
