@@ -27,7 +27,7 @@ BLOCKS = 6
 BETWEEN = "[\\x20\\x09-\\x0D]+"
 HALVES = 0x100000001
 #: Documents in one range of ids.
-RANGE_ROWS = 3000
+RANGE_ROWS = 1000
 #: Ranges whose first documents may be broadcast (an id, a hash and a number each).
 MOST_BROADCAST = 100_000
 
@@ -75,6 +75,13 @@ def within_radius(queries: DataFrame, corpus: DataFrame, fp: str = "fp", radius:
     return q.join(c, ["tab", "key"]).filter(distance <= radius).select("q", "fp", distance.alias("distance")).distinct()
 
 
+def count_near(queries: DataFrame, corpus: DataFrame, fp: str = "fp", radius: int = RADIUS) -> DataFrame:
+    """q, n: for each different fingerprint of queries the number of corpus rows in the radius. Copies are counted, not met."""
+    copies = corpus.groupBy(F.col(fp).alias("c")).agg(F.count("*").alias("copies"))
+    found = within_radius(queries, corpus, fp, radius)
+    return found.join(copies, F.col("fp") == F.col("c")).groupBy("q").agg(F.sum("copies").cast("long").alias("n"))
+
+
 def by_descending_id(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     """rng, rn, last, doc_id, text, next_text: each document with the text of the next by descending id (ties by the MD5
     of the text, null ids at the end; after the last the first). Rows with last = 1 repeat a range's successor.

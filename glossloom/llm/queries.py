@@ -11,6 +11,9 @@ from glossloom.llm.common import read_table, small_batches, written
 from glossloom.llm.stages import MIX_MOST, MIX_SHARE, MIX_WEIGHTS, SHARDS
 
 
+#: Of searches, every row whose id is divisible by this is a query.
+QUERY_STEP = 50
+
 
 def digest_text(spans: str, kinds: tuple[str, ...] = ()) -> Column:
     """kind:start:end of the spans, comma-joined; only those of kinds, if any are given."""
@@ -91,7 +94,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One shuffle of the texts: fingerprints and neighbours are worked out in each range of ids."""
+    """One shuffle of the texts: fingerprints and neighbours are worked out in each range of ids.
+
+    n_near: for the queries, which are the rows with an id divisible by QUERY_STEP, how many other rows have a fingerprint
+    in the radius; null for other rows.
+    """
     d = fingerprint.by_descending_id(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
@@ -105,6 +112,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = fingerprint.fingerprints(d, ["rng", "rn", "side"], "t", rest)
     one = fps.groupBy("rng", "rn").agg(F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp"), *[F.max(c).alias(c) for c in rest])
     one = one.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("rng").orderBy("rn"))).filter("last = 0")
+    one = written(one, "fingerprints")
+    asks = F.coalesce(F.col("doc_id") % QUERY_STEP == 0, F.lit(False))
+    near = fingerprint.count_near(one.filter(asks), one)
+    one = one.join(near, asks & (F.col("fp") == F.col("q")), "left")
     return one.select(
         "doc_id",
         "n_chars",
@@ -113,6 +124,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprint.fp_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         fingerprint.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         fingerprint.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        (F.col("n") - 1).alias("n_near"),
     )
 
 

@@ -283,6 +283,8 @@ def test_fingerprint_query(spark):
         bits = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 64
         assert got[d].near_next == bits(got[d].fingerprint, got[nxt[0]].fingerprint)
         assert got[d].near_edited == bits(got[d].fingerprint, got[d].edited_fingerprint)
+        near = sum(bits(got[d].fingerprint, r.fingerprint) >= 1 - 3 / 64 for r in got.values()) - 1
+        assert got[d].n_near == (near if d % 50 == 0 else None)
 
 
 # ---- language model
