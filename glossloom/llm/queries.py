@@ -189,5 +189,56 @@ FROM low LEFT JOIN words USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def s_part(x: str, at: int) -> str:
+    return f"CAST('0x' || substr(md5({x}), {at}, 8) AS BIGINT)"
+
+
+def op3_sql() -> str:
+    """CRC-32 goes byte by byte with a table made by its rule; the shards' constants come from their rule."""
+    table = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    text = "".join(f"{c:08x}" for c in table)  # a string is looked up faster than a list
+    crc = f"xor(c >> 8, CAST('0x' || substr('{text}', (xor(c, b) & 255) * 8 + 1, 8) AS BIGINT))"
+    shards = ", ".join(str((i, *sharding.shard_constants(i))) for i in range(SHARDS + 1))
+    p = sharding.PRIME
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, k, len(h) // 2 + 16 AS size, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)) AS bs FROM d),
+r AS (SELECT doc_id, size, {s_part('k', 1)} % {p} AS x, {s_part('k', 9)} % {p} AS y,
+  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: {crc}), 4294967295) AS text_crc32 FROM b),
+w AS (SELECT *, row_number() OVER () AS n FROM r),
+z AS (SELECT w.n, i, (x * a + y * b % {p} + c) % {p} AS z, x FROM w, (VALUES {shards}) s(i, a, b, c)),
+s AS (SELECT n, i, (z * z + x) % {p} AS z FROM z),
+g AS (SELECT n, arg_min(i, ({p} - z) * 64 + i) FILTER (WHERE i < {SHARDS}) AS shard, arg_min(i, ({p} - z) * 64 + i) AS grown_shard FROM s GROUP BY n),
+f AS (SELECT doc_id, size, text_crc32, shard, grown_shard FROM w JOIN g USING (n)),
+o AS (SELECT *, {s_part("concat_ws('|', shard, coalesce(CAST(doc_id AS VARCHAR), 'null'), text_crc32, size, grown_shard)", 1)} % CAST(greatest(1, ceil((SELECT count(*) FROM f) / {sharding.SLOT_BLOCK}.0)) AS BIGINT) AS block FROM f)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY block, doc_id NULLS FIRST, text_crc32, size, grown_shard) - 1 AS slot, grown_shard FROM o
+"""
+
+
+def op9_sql() -> str:
+    weights = "[" + ", ".join(f"{w:.1f}::DOUBLE" for w in MIX_WEIGHTS) + "]"
+    return f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+q AS (SELECT doc_id, source, CAST(len(regexp_extract_all(t, '{mixing.WORD}')) AS BIGINT) AS size, length(t) AS n,
+  CAST(n - length(regexp_replace(t, '[^#-&*@|~^<>=_0-9]+', '', 'g')) AS DOUBLE) / n AS plain,
+  (CAST(CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(t)), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0::DOUBLE AS u FROM d),
+k AS (SELECT doc_id, source, size, -ln(u) / CASE WHEN n = 0 THEN {mixing.LEAST_QUALITY} ELSE greatest({mixing.LEAST_QUALITY}, plain * plain) END AS key FROM q),
+p AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, {weights}[CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(MIX_WEIGHTS)} AS INTEGER) + 1] AS w FROM k GROUP BY source),
+c AS (SELECT *, source_size * {MIX_MOST}::DOUBLE AS cap FROM p),
+l AS (SELECT *, (sum(source_size) OVER () * {MIX_SHARE}::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS lv FROM c
+  WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(lv, cap / w) FROM l WHERE lv * w <= cap) * w), cap) AS target FROM l),
+j AS (SELECT k.*, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS e,
+  coalesce(sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, target - e * source_size AS fill FROM j)
+SELECT doc_id, source, size, source_size, target, CAST(size * (e + CASE WHEN s < fill AND (s + size <= fill OR s + size - fill <= fill - s) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_chat_formatting": OP4_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_sharding": op3_sql(), "op9_mixing": op9_sql(), "op4_chat_formatting": OP4_SQL}

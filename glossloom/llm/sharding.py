@@ -63,10 +63,16 @@ def assign_shards(df: DataFrame, key: str, weights: Sequence[float], out: str =
     return got.withColumn(name, rendezvous(F.col(x), F.col(y), weights)).drop(x, y)
 
 
+def block_of(keys: Sequence[Column], blocks: int) -> Column:
+    """One of so many blocks, from the MD5 of the keys' text."""
+    text = F.concat_ws("|", *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % blocks
+
+
 def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "slot") -> DataFrame:
     """A gapless number from 0 in each shard, for the rows of df.
 
-    Rows are dealt to blocks of about SLOT_BLOCK rows by a hash of the order columns; the block's first number is the
+    Rows are dealt to blocks of about SLOT_BLOCK rows by a hash of all columns; the block's first number is the
     count of the shard's rows in earlier blocks. So no task sorts a whole shard. Equal rows are counted first and share
     one row until they get their numbers, so that many copies of a row aren't one block. df is scanned twice.
     """
@@ -76,7 +82,7 @@ def number_slots(df: DataFrame, shard: str, order: Sequence[str], out: str = "sl
     if rest:
         raise ValueError(f"order must name every column besides the shard; missing: {rest}")
     blocks = max(1, math.ceil(df.count() / SLOT_BLOCK))
-    distinct = df.groupBy(*keys).agg(F.count("*").alias(n)).withColumn(block, F.pmod(F.xxhash64(*keys), F.lit(blocks)))
+    distinct = df.groupBy(*keys).agg(F.count("*").alias(n)).withColumn(block, block_of([F.col(c) for c in keys], blocks))
     # one row for each shard and block
     starts = distinct.groupBy(shard, block).agg(F.sum(n).alias(start))
     before = Window.partitionBy(shard).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
