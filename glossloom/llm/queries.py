@@ -206,7 +206,7 @@ def op3_sql() -> str:
     p = sharding.PRIME
     return f"""
 WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
-b AS (SELECT doc_id, k, len(h) // 2 + 16 AS size, list_transform(range(1, len(h), 2), lambda i: CAST('0x' || h[i:i + 1] AS BIGINT)) AS bs FROM d),
+b AS (SELECT doc_id, k, len(h) // 2 + 16 AS size, list_transform(regexp_extract_all(h, '..'), lambda v: CAST('0x' || v AS BIGINT)) AS bs FROM d),
 r AS (SELECT doc_id, size, {s_part('k', 1)} % {p} AS x, {s_part('k', 9)} % {p} AS y,
   xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: {crc}), 4294967295) AS text_crc32 FROM b),
 w AS (SELECT *, row_number() OVER () AS n FROM r),
