@@ -130,3 +130,36 @@ def rebuild_office(files: DataFrame, units: DataFrame) -> DataFrame:
 
     joined = files.select("path", "doc_type", "content").join(held, "path", "left")
     return joined.select("path", put("doc_type", "content", "us").alias("content"))
+
+
+# The smallest set of parts that makes a docx file.
+DOCX_TYPES = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>"""
+DOCX_LINKS = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>"""
+
+
+def make_docx(heading: str, paragraphs: list[tuple[str, bool]]) -> bytes:
+    """A docx file of a heading and of paragraphs (text, whether it is a title), headings in larger bold type."""
+
+    def paragraph(text: str, half_points: int, bold: bool) -> str:
+        return f'<w:p><w:r><w:rPr>{"<w:b/>" if bold else ""}<w:sz w:val="{half_points}"/></w:rPr><w:t xml:space="preserve">{escape(text, False)}</w:t></w:r></w:p>'
+
+    body = paragraph(heading, 40, True) + "".join(paragraph(t, 28 if title else 22, title) for t, title in paragraphs)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", DOCX_TYPES)
+        z.writestr("_rels/.rels", DOCX_LINKS)
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{WORD[1:-1]}"><w:body>{body}</w:body></w:document>')
+    return out.getvalue()
+
+
+def export_docx(paragraphs: DataFrame, translations: DataFrame, heading: str) -> DataFrame:
+    """doc_id, content: each document's paragraphs (doc_id, seq, original, title) with their translations as a docx file."""
+    joined = paragraphs.join(translations.select("doc_id", "seq", "translated"), ["doc_id", "seq"], "left")
+    shown = F.coalesce(F.nullif(F.col("translated"), F.lit("")), F.col("original"))
+    got = joined.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", shown.alias("t"), "title"))).alias("g"))
+
+    @F.pandas_udf("binary")
+    def write(groups: pd.Series) -> pd.Series:
+        return pd.Series([make_docx(heading, [(p["t"], bool(p["title"])) for p in g]) for g in groups])
+
+    return got.select("doc_id", write("g").alias("content"))

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from glossloom.functions import fit
 from glossloom.operators import extract, fingerprint, html, layout, memory, profile, render
 from glossloom.sources import files as file_source
 from glossloom.sources import office, programs, xp3
@@ -187,6 +188,23 @@ def test_office_documents(spark):
     assert {r.original for r in office.office_units(again).collect()} == {"ONE TEXT", "SLIDE ONE", "SLIDE TEN", "SHARED CELL", "INLINE CELL", "CHAPTER & VERSE"}
 
 
+def test_docx_export(spark):
+    p = spark.createDataFrame([("d", 1, "Body & all", False), ("d", 0, "T", True)], "doc_id string, seq int, original string, title boolean")
+    t = spark.createDataFrame([("d", 0, "Titre")], "doc_id string, seq int, translated string")
+    data = bytes(office.export_docx(p, t, "Heading").first().content)
+    assert [s for _, _, s in office.strings("docx", data)] == ["Heading", "Titre", "Body & all"]
+
+
+def test_text_fits_boxes(spark):
+    assert fit.fit("ab", 100, 30) == (["ab"], 16)
+    lines, size = fit.fit("word " * 12, 100, 40)
+    assert "".join(lines) == "word " * 12 and len(lines) <= 3 and len(lines) * size * 1.25 <= 40
+    assert fit.fit("x" * 1000, 20, 10) == (["x" * 7] * 3, 5)
+    assert fit.fit("宽", 4, 10) == (["…"], 8) and fit.fit("", 9, 9) == ([], 5)
+    df = spark.createDataFrame([("ab", 100.0, 30.0)], "t string, w double, h double")
+    assert fit.with_layout(df, "t", "w", "h").first().layout.lines == ["ab"]
+
+
 def version_node(key, value, children=b"", text=True):
     raw = key.encode("utf-16-le") + b"\0\0"
     raw += b"\0" * (-(6 + len(raw)) % 4)
