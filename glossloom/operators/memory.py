@@ -131,8 +131,8 @@ def evict_oldest(memory: DataFrame, capacity: int = CAPACITY, trim_to: int = TRI
 
 
 def realign_numbered(reply: Column, n: Column) -> Column:
-    """The n texts of a reply of lines "[k] text", by number; a missing one is empty."""
+    """The n texts of a reply of lines "[k] text", by number from 0; a missing one is empty."""
     line = F.lit("(?m)^\\s*\\[([0-9]+)\\][ \\t]*([^\\n]*)")
     numbers = F.transform(F.regexp_extract_all(reply, line, F.lit(1)), lambda k: k.cast("int"))
     texts = F.regexp_extract_all(reply, line, F.lit(2))
-    return F.transform(F.sequence(F.lit(1), n), lambda i: F.coalesce(F.get(texts, F.array_position(numbers, i).cast("int") - 1), F.lit("")))
+    return F.transform(F.slice(F.sequence(F.lit(0), n), F.lit(1), n), lambda i: F.coalesce(F.get(texts, F.array_position(numbers, i).cast("int") - 1), F.lit("")))

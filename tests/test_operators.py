@@ -116,7 +116,7 @@ def test_eviction_keeps_the_newest(spark):
 
 
 def test_numbered_reply(spark):
-    df = spark.createDataFrame([("[1] a\nnoise\n[3] c",)], "r string")
+    df = spark.createDataFrame([("[0] a\nnoise\n[2] c",)], "r string")
     assert df.select(memory.realign_numbered(F.col("r"), F.lit(3))).first()[0] == ["a", "", "c"]
 
 
