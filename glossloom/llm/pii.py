@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -137,14 +138,22 @@ def with_terms(df: DataFrame, text: str, terms: dict[str, str], old: str | None,
     return df.withColumn(out, scan(F.col(text), prior))
 
 
-def terms_in(wanted: set[str]):
-    """A function for the wanted terms of a text."""
+def text_counts(df: DataFrame, text: str, wanted: set[str]) -> DataFrame:
+    """term, n_t: in how many different texts each wanted term occurs. Tasks count before they send."""
 
     @F.pandas_udf("array<string>")
     def has(texts: pd.Series) -> pd.Series:
         return pd.Series([sorted(wanted & {w.lower() for w in WORD.findall(t)}) if t else [] for t in texts])
 
-    return has
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: Counter[str] = Counter()
+        for pdf in batches:
+            for terms in pdf["terms"]:
+                n.update(terms)
+        yield pd.DataFrame({"term": list(n), "n": list(n.values())}).astype({"term": object, "n": "int64"})
+
+    one = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("id"), has(F.col(text)).alias("terms")).filter(F.size("terms") > 0).dropDuplicates(["id"])
+    return one.select("terms").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
 def disclosing_terms(df: DataFrame, text: str = "text", context: int = CONTEXT, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
@@ -154,16 +163,17 @@ def disclosing_terms(df: DataFrame, text: str = "text", context: int = CONTEXT,
     def near(texts: pd.Series) -> pd.Series:
         return pd.Series([contexts(t, context) for t in texts])
 
-    met = df.select(F.explode(near(F.col(text))).alias("m")).select("m.*").dropDuplicates(["entity", "context"])
-    met = written(met, "contexts")
+    found = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.explode(near(F.col(text))).alias("m")).select("id", "m.*")
+    met = written(found.groupBy("entity", "context").agg(F.min("id").alias("id"), F.first("terms").alias("terms")), "contexts")
     per_entity = met.groupBy("entity").agg(F.count("*").alias("n_e"))
     pairs = met.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).filter(F.col("n_et") >= support)
-    pairs = written(pairs, "pairs")
+    # the texts of a term's contexts are some of its texts; where these alone are too many for P(e | t), the rest needs no count
+    least = met.select("id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_least"))
+    pairs = written(pairs.join(least, "term").filter(F.col("n_et") >= generalise * F.col("n_least")).drop("n_least"), "pairs")
     candidates = pairs.select("term").distinct().withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, -(-pairs.count() // BLOCK_TERMS)))))
     counts = None
     for words in term_blocks(candidates):
-        has = terms_in({w for (w,) in words})
-        got = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("id"), F.explode(has(F.col(text))).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+        got = text_counts(df, text, {w for (w,) in words})
         counts = got if counts is None else counts.unionByName(got)
     if counts is None:
         return pairs.select("term", F.lit(0.0).alias("bits"), F.lit(0.0).alias("p"), F.lit("").alias("act")).filter(F.lit(False))
