@@ -27,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FIT_ROWS = 3000
-POOL_ROWS = 1500
+FIT_ROWS = 4000
+POOL_ROWS = 2000
 ROUNDS = 3
 SURE = 0.97
 #: Most documents that a view passes on in a round.
