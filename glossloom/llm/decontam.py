@@ -1,11 +1,14 @@
 """Benchmark decontamination with a positional inverted index.
 
-A benchmark item's windows are its runs of WINDOW consecutive words. For each window the rarest of its terms in the
-corpus is found from counts over all documents, and of those terms only the index stores postings: term, document,
-position, and the words around it as far as any window of that term reaches. A window's occurrences are then its rarest
-term's positions, shifted by the term's offset in the window, whose words around agree with the window at every offset
-(exact), or hold most of its words in any order (near). Neither documents nor their texts are shuffled; what moves are
-matches. Everything runs in DataFrame operations.
+A benchmark item's windows are its runs of WINDOW consecutive words. A document has a window exactly where the same
+words follow each other, and nearly where a run of at most as many words holds NEAR_SHARE of the window's different words
+in any order; k, the number that may be missing, is 2 for 13 words. For each window the k + 1 rarest of its terms in the
+corpus are found from counts over all documents: of any near match at most k are missing, so one of these is in it.
+Terms that no document has count among the k + 1. Of those terms only the index stores postings: term, document,
+position, and the words around it as far as a match can reach. Exact matches are the terms' positions, shifted by the
+term's offset in the window, whose words around agree with the window at every offset; near ones are the runs through
+the position with enough of the window's words. Neither documents nor their texts are shuffled; what moves are matches.
+Everything runs in DataFrame operations.
 
 Items go in blocks of about BLOCK_WORDS words, so what a block broadcasts (its terms and windows) is bounded; each block
 reads the documents twice, once to count and once to post.
@@ -23,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossloom.llm.common import LOWER, UPPER, lower_ascii, written
+from glossloom.llm.common import lower_ascii, written
 
 WINDOW = 13
 NEAR_SHARE = 0.8
@@ -39,7 +42,12 @@ def term(word: Column) -> Column:
 
 
 def lowered(words: Column) -> Column:
-    return F.transform(words, lambda w: F.translate(w, UPPER, LOWER))
+    return F.transform(words, lower_ascii)
+
+
+def bits(words: Column) -> Column:
+    """64 bits, of which each word sets one."""
+    return F.aggregate(words, F.lit(0).cast("long"), lambda b, w: b.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))))
 
 
 def item_groups(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -49,9 +57,15 @@ def item_groups(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return got.groupBy("words").agg(F.collect_set("item").alias("item_ids")).withColumn("grp", F.md5(F.array_join("words", " ")))
 
 
-def rarest_terms(docs: DataFrame, groups: DataFrame, window: int) -> DataFrame:
+def needed(kinds: Column, near_share: float) -> Column:
+    """How many of a window's different words a near match shares."""
+    return F.greatest(F.lit(1), F.ceil(kinds * F.lit(near_share) - F.lit(1e-9))).cast("int")
+
+
+def rarest_terms(docs: DataFrame, groups: DataFrame, window: int, near_share: float) -> DataFrame:
     """The index terms with what is to be searched at each: grp, term, words (those that the windows span), at (the
-    term's offset in words), starts (the windows' offsets in words), len. Windows with a term that no document has are left out.
+    term's offset in words), starts (the windows' offsets in words), len, bits (of each
+    window), lacks (the most different words that a near match lacks).
     """
     length = F.least(F.lit(window), F.size("words"))
     spans = groups.select("grp", "words", length.alias("len"), F.explode(F.sequence(F.lit(0), F.size("words") - length)).alias("start"))
@@ -59,9 +73,12 @@ def rarest_terms(docs: DataFrame, groups: DataFrame, window: int) -> DataFrame:
     counted = docs.select(F.explode("doc_words").alias("w")).select(term(F.col("w")).alias("term"))
     # the block's terms: at most BLOCK_WORDS and a group's words
     counted = counted.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    best = terms.join(counted, "term", "left").groupBy("grp", "start").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "term")).alias("b"))
-    best = best.filter(F.col("b.n") > 0).select("grp", "start", F.col("b.term").alias("term"), (F.col("start") + F.col("b.off")).alias("pos"))
-    best = best.groupBy("grp", "term", "pos").agg(F.min("start").alias("first"), F.max("start").alias("final"), F.sort_array(F.collect_list("start")).alias("starts"))
+    # a term that comes twice in a window counts once; those that no document has are the rarest
+    ranked = terms.join(counted, "term", "left").groupBy("grp", "start", "term").agg(F.min("off").alias("off"), F.coalesce(F.max("n"), F.lit(0)).alias("n"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("grp", "start").orderBy("n", "off"))).withColumn("kinds", F.count("*").over(Window.partitionBy("grp", "start")))
+    ranked = ranked.withColumn("need", needed(F.col("kinds"), near_share))
+    best = ranked.filter((F.col("rank") <= F.col("kinds") - F.col("need") + 1) & (F.col("n") > 0)).select("grp", "start", "term", (F.col("start") + F.col("off")).alias("pos"), "kinds", "need")
+    best = best.groupBy("grp", "term", "pos").agg(F.min("start").alias("first"), F.max("start").alias("final"), F.sort_array(F.collect_list("start")).alias("starts"), F.max(F.col("kinds") - F.col("need")).alias("lacks"))
     got = best.join(groups.select("grp", "words"), "grp")
     return got.select(
         "grp",
@@ -70,39 +87,70 @@ def rarest_terms(docs: DataFrame, groups: DataFrame, window: int) -> DataFrame:
         (F.col("pos") - F.col("first")).alias("at"),
         F.transform("starts", lambda s: s - F.col("first")).alias("starts"),
         length.alias("len"),
+        F.transform("starts", lambda s: bits(F.slice("words", s + 1, length))).alias("bits"),
+        "lacks",
     )
 
 
 def postings(docs: DataFrame, anchors: DataFrame) -> DataFrame:
     """The index: key, doc_id, term, pos, n_words (only at each document's closing posting), first and words: the
-    words around from position first on, as far as the term's windows reach.
+    words around from position first on, as far as a match with the term reaches. Positions count from the first word.
     """
-    reach = anchors.groupBy("term").agg(F.max("at").alias("left"), F.max(F.size("words") - F.col("at")).alias("right"))
+    reach = anchors.groupBy("term").agg(F.max(F.greatest("at", F.col("len") - 1)).alias("left"), F.max(F.greatest(F.size("words") - F.col("at"), "len")).alias("right"))
     closing = docs.sparkSession.range(1).select(F.xxhash64(F.lit(LAST)).alias("term"), F.lit(0).alias("left"), F.lit(0).alias("right"))
     tokens = docs.select("doc_id", "key", "doc_words", F.posexplode("doc_words").alias("pos", "w")).withColumn("term", term(F.col("w")))
     found = tokens.join(F.broadcast(reach.unionByName(closing)), "term")
-    first = F.greatest(F.col("pos") - F.col("left"), F.lit(0))
+    lead = F.when(F.element_at("doc_words", 1) == "", 1).otherwise(0)
+    first = F.greatest(F.col("pos") - F.col("left"), lead)
     around = F.slice("doc_words", first + 1, F.col("pos") + F.col("right") - first)
-    n = F.col("pos") - F.when(F.element_at("doc_words", 1) == "", 1).otherwise(0) - F.when((F.col("pos") > 1) & (F.element_at("doc_words", -2) == ""), 1).otherwise(0)
-    return found.select("doc_id", "key", "term", "pos", F.when(F.col("w") == LAST, n).cast("long").alias("n_words"), first.alias("first"), lowered(around).alias("words"))
+    n = F.col("pos") - lead - F.when((F.col("pos") > 1) & (F.element_at("doc_words", -2) == ""), 1).otherwise(0)
+    return found.select("doc_id", "key", "term", (F.col("pos") - lead).alias("pos"), F.when(F.col("w") == LAST, n).cast("long").alias("n_words"), (first - lead).alias("first"), lowered(around).alias("words")).withColumn("held", bits(F.col("words")))
 
 
 def occurrences(index: DataFrame, anchors: DataFrame, near_share: float) -> DataFrame:
-    """key, grp, len, starts (of exact occurrences, in document words), near (whether a window is near)."""
-    a = anchors.select("grp", F.col("term").alias("a_term"), F.col("words").alias("a_words"), "at", "starts", "len")
+    """key, grp, len, starts (of exact occurrences, in document words), near (spans of near ones: start, end)."""
+    a = anchors.select("grp", F.col("term").alias("a_term"), F.col("words").alias("a_words"), "at", "starts", "len", F.col("bits").alias("a_bits"), "lacks")
     hit = index.filter(F.col("n_words").isNull()).join(F.broadcast(a), F.col("term") == F.col("a_term"))
+    # most hits lack too many words of each window: a bit that is missing is at least one word
+    hit = hit.filter(F.exists("a_bits", lambda b: F.bit_count(b.bitwiseAND(F.bitwise_not(F.col("held")))) <= F.col("lacks")))
     # a window's offset in the stored words
-    shift = F.col("pos") - F.col("first") - F.col("at")
+    hit = hit.withColumn("shift", F.col("pos") - F.col("first") - F.col("at")).withColumn("here", F.col("pos") - F.col("first"))
+    shift = F.col("shift")
     window = lambda s: F.slice("a_words", s + 1, F.col("len"))
-    same = lambda s: F.when(shift + s < 0, F.lit(False)).otherwise(F.slice("words", F.greatest(shift + s, F.lit(0)) + 1, F.col("len")) == window(s))
-    shared = lambda s: F.size(F.array_intersect(F.col("words"), window(s))) >= F.lit(near_share) * F.size(F.array_distinct(window(s)))
-    hit = hit.select("key", "grp", "len", F.transform(F.filter("starts", same), lambda s: F.col("first") + shift + s).alias("starts"), F.exists("starts", shared).alias("near"))
-    return hit.filter((F.size("starts") > 0) | F.col("near"))
+    run = lambda i: F.slice("words", i + 1, F.col("len"))
+    same = lambda s: F.when(shift + s < 0, F.lit(False)).otherwise(run(F.greatest(shift + s, F.lit(0))) == window(s))
+    # where a run through the position can begin
+    begins = F.sequence(F.greatest(F.col("here") - F.col("len") + 1, F.lit(0)), F.col("here"))
+
+    def runs(s: Column) -> Column:
+        """Spans of the runs with enough of the words of the window at s, from a word of the window to one."""
+        w = window(s)
+        least = needed(F.size(F.array_distinct(w)), near_share)
+        held = lambda i: F.array_contains(w, F.element_at("words", i + 1)) & (F.size(F.array_intersect(run(i), w)) >= least)
+        end = lambda i: F.size(run(i)) + 1 - F.array_position(F.reverse(F.transform(run(i), lambda x: F.array_contains(w, x))), True)
+        return F.transform(F.filter(begins, held), lambda i: F.struct((F.col("first") + i).alias("start"), (F.col("first") + i + end(i)).cast("int").alias("end")))
+
+    hit = hit.select("key", "grp", "len", F.transform(F.filter("starts", same), lambda s: F.col("first") + shift + s).alias("starts"), F.array_distinct(F.flatten(F.transform(F.filter("starts", lambda s: ~same(s)), runs))).alias("near"))
+    return hit.filter((F.size("starts") > 0) | (F.size("near") > 0))
+
+
+def covered(spans: DataFrame, by: list[str]) -> DataFrame:
+    """spans (start, end) with seen: where the earlier ones of the same group end."""
+    earlier = Window.partitionBy(*by).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("seen", F.coalesce(F.max("end").over(earlier), F.lit(0)))
+
+
+def n_covered(spans: DataFrame, name: str) -> DataFrame:
+    """For each key, the words inside any span: each counts from where the earlier ones end."""
+    spans = covered(spans.groupBy("key", "start").agg(F.max("end").alias("end")), ["key"])
+    return spans.groupBy("key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("start", "seen"))).cast("long").alias(name))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, near_share: float = NEAR_SHARE) -> DataFrame:
     """One row for each document: key (MD5 of its text), doc_id, n_words, n_hit (words inside occurrences), items (ids of
-    items with occurring windows, sorted as strings), n_near (items with a near or exact window)."""
+    items with occurring windows, sorted as strings), n_near (items with a near or exact window), n_near_hit (words inside
+    near or exact ones), near (of each such item the spans of words where they are, overlapping ones as one: item, start,
+    end; sorted)."""
     plain = F.coalesce(F.col(text), F.lit(""))
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.md5(plain).alias("key"), F.array_append(F.split(plain, BETWEEN), F.lit(LAST)).alias("doc_words"))
     groups = written(item_groups(items, item_id, item_text), "items")
@@ -111,22 +159,26 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     rows, found = None, None
     for block in range(n_blocks):
         some = groups.filter(F.pmod(F.xxhash64("grp"), F.lit(n_blocks)) == block) if n_blocks > 1 else groups
-        anchors = written(rarest_terms(docs, some, window), "terms")
+        anchors = written(rarest_terms(docs, some, window, near_share), "terms")
         index = written(postings(docs, anchors), "postings")
         rows = rows if rows is not None else index.filter(F.col("n_words").isNotNull()).select("doc_id", "key", "n_words")
         got = occurrences(index, anchors, near_share)
         found = got if found is None else found.unionByName(got)
-    per_group = found.groupBy("key", "grp").agg(F.max(F.size("starts") > 0).alias("exact"), F.max("near").alias("near"))
+    found = written(found, "matches")
+    exact = found.select("key", "grp", "len", F.explode("starts").alias("start")).select("key", "grp", "start", (F.col("start") + F.col("len")).alias("end"))
+    every = found.select("key", "grp", F.explode("near").alias("s")).select("key", "grp", "s.start", "s.end").unionByName(exact)
+    # overlapping spans of an item are one
+    every = covered(every.groupBy("key", "grp", "start").agg(F.max("end").alias("end")), ["key", "grp"])
+    every = every.withColumn("part", F.sum(F.when(F.col("start") >= F.col("seen"), 1).otherwise(0)).over(Window.partitionBy("key", "grp").orderBy("start")))
+    every = every.groupBy("key", "grp", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    per_group = found.groupBy("key", "grp").agg(F.max(F.size("starts") > 0).alias("exact"))
     per_key = per_group.join(groups.select("grp", "item_ids"), "grp").groupBy("key").agg(
         F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("exact"), F.col("item_ids")))))).alias("items"),
-        F.sum(F.when(F.col("exact") | F.col("near"), F.size("item_ids"))).alias("n_near"),
+        F.sum(F.size("item_ids")).alias("n_near"),
     )
-    # words inside any occurrence: each occurrence counts from where the earlier ones end
-    spans = found.select("key", "len", F.explode("starts").alias("start")).groupBy("key", "start").agg(F.max("len").alias("len"))
-    earlier = Window.partitionBy("key").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    end = F.col("start") + F.col("len")
-    spans = spans.withColumn("seen", F.coalesce(F.max(end).over(earlier), F.lit(0)))
-    hits = spans.groupBy("key").agg(F.sum(F.greatest(F.lit(0), end - F.greatest(F.col("start"), F.col("seen")))).cast("long").alias("n_hit"))
+    where = every.join(groups.select("grp", "item_ids"), "grp").select("key", F.explode("item_ids").alias("item"), "start", "end")
+    where = where.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("item", "start", "end"))).alias("near"))
+    hits = n_covered(exact, "n_hit").join(n_covered(every, "n_near_hit"), "key", "full").join(where, "key", "full")
     result = per_key.join(hits, "key", "left").withColumnRenamed("key", "k")
     return rows.join(result, F.col("key") == F.col("k"), "left").select(
         "doc_id",
@@ -135,6 +187,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
         F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
+        F.coalesce("n_near_hit", F.lit(0)).alias("n_near_hit"),
+        F.coalesce("near", F.array().cast("array<struct<item:string,start:int,end:int>>")).alias("near"),
     )
 
 

@@ -65,6 +65,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and near matches with their places; op2_decontamination has the columns of its SQL, which are of exact ones."""
+    got = decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return got.select("doc_id", "n_words", "n_hit", "n_near_hit", "items", "n_near", "near", decontam.is_contaminated(F.col("n_near_hit"), F.col("n_words")).alias("near_contaminated"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -132,6 +138,7 @@ def queries() -> dict:
     return {
         "op1_secret_scans": op1_secret_scans,
         "op2_decontamination": op2_decontamination,
+        "op2_near_matches": op2_near_matches,
         "op3_sharding": op3_sharding,
         "op4_chat_formatting": op4_chat_formatting,
         "op5_lm_scoring": op5_lm_scoring,

@@ -65,9 +65,9 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is in the benchmark."""
+    """Documents of which less than a twentieth is in the benchmark, exactly or nearly."""
     got = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = got.filter(decontam.is_contaminated(F.col("n_hit"), F.col("n_words"))).select(F.col("key").alias("bad_md")).distinct()
+    bad = got.filter(decontam.is_contaminated(F.col("n_near_hit"), F.col("n_words"))).select(F.col("key").alias("bad_md")).distinct()
     return docs.join(bad, digest() == F.col("bad_md"), "left_anti")
 
 

@@ -60,6 +60,41 @@ def test_near_matches(spark):
     assert {r.doc_id: (r.n_hit, r.n_near) for r in decontam.decontaminate(d, b).collect()} == {1: (0, 1), 2: (0, 0)}
 
 
+def slow_near(text, item, window=13):
+    """Spans of words inside runs that share at least 0.8 of a window's different words, from a shared word to one."""
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    w, v = re.findall(word, low(text)), re.findall(word, low(item))
+    n, inside = min(window, len(v)), set()
+    for j in range(len(v) - n + 1) if n else ():
+        want = set(v[j : j + n])
+        for i in range(len(w)):
+            run = w[i : i + n]
+            if w[i] in want and 5 * len(want & set(run)) >= 4 * len(want):
+                inside |= set(range(i, i + max(k for k, x in enumerate(run) if x in want) + 1))
+    return inside
+
+
+def test_near_matches_with_the_rarest_words_edited(spark, monkeypatch):
+    v = [f"v{i}" for i in range(30)]
+    items = [(1, " ".join(v)), (2, "short one of five words"), (3, "zeta eta theta iota kappa lam mu nu xi omi pi rho sig"), (4, " ".join(v))]
+    edit = lambda ws, *at: " ".join("edit" if i in at else x for i, x in enumerate(ws))
+    third = items[2][1].split()
+    # all words of the third item but those edited are common, so the edited ones are its rarest, or occur nowhere
+    docs = [(100 + i, " ".join(third[2:])) for i in range(5)] + [(1, "... a b " + edit(v, 3, 14, 25) + " c"), (2, edit(third, 0)), (3, edit(third, 0, 1)), (4, edit(third, 0, 1, 5)), (5, "Short 1 of five words!"), (6, "words of one five"), (7, " ".join(third[:6] + ["more"] + third[6:])), (8, None), (9, "!")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: {str(k): s for k, x in items if (s := slow_near(t, x))} for i, t in docs}
+    assert want[2] and want[3] and not want[4] and want[1].keys() == {"1", "4"} and want[5] and want[6] and want[7]
+    for block in (decontam.BLOCK_WORDS, 8):
+        monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+        for r in decontam.decontaminate(d, b).collect():
+            spans = {}
+            for m in r.near:
+                spans.setdefault(m.item, set()).update(range(m.start, m.end))
+            assert (r.doc_id, spans) == (r.doc_id, want[r.doc_id])
+            assert (r.n_near, r.n_near_hit) == (len(spans), len(set().union(*spans.values())))
+
+
 def test_decontamination_runs_no_python(spark):
     plan = queries.op2_decontamination(spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -63,6 +63,15 @@ def test_one_of_each_group_stays(spark, wild):
     assert stages.dedup_stage(spark, wild.limit(0), SF).count() == 0
 
 
+def test_near_copies_of_the_benchmark_go(spark):
+    words = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text.split()
+    # no run of 13 words is without an edit
+    edited = " ".join("edited" if i % 10 == 5 else w for i, w in enumerate(words))
+    docs = spark.createDataFrame([(1, edited), (2, "some words that are in no item of the benchmark at all, not even nearly so")], "doc_id long, text string")
+    assert [r.n_hit for r in decontam.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()] == [0, 0]
+    assert [r.doc_id for r in stages.decontamination_stage(spark, docs, SF).collect()] == [2]
+
+
 def test_mixing_repeats_documents(spark, wild):
     rows = stages.mixing_stage(spark, wild, SF)
     assert rows.columns == wild.columns
