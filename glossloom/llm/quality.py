@@ -6,12 +6,14 @@ Over ROUNDS rounds each view labels a pool of unlabelled documents, and those of
 to the other view as training data. At the end both views' scores are combined and calibrated on labelled documents that
 neither was fitted on. A document is kept when it is more likely good than not and more likely clean than toxic.
 
-Fitting takes a bounded sample: at most about FIT_ROWS labelled and POOL_ROWS unlabelled documents, picked by a hash of the
-id; it runs on the driver over hashed features. All documents are scored, whole.
+Fitting takes a bounded sample: about FIT_ROWS labelled and POOL_ROWS unlabelled documents, picked by a hash of the id, and of
+each class of a label at least CLASS_ROWS or all there are; the classes' rates are taken out of the result again. It runs on
+the driver over hashed features. All documents are scored, whole.
 
 Cases: null and empty texts, null sources and languages are values like others; null ids can't be labelled; repeated
 labels of an id count once (the lowest), null labels are left out; a label with one class only, or no labels at all,
-gives the share of the good class with no more evidence, and 1 with no labels, so all is kept; other columns pass.
+gives the share of the good class with no more evidence, and 1 with no labels, so all is kept; a label with fewer than eight
+documents of its rarer class is calibrated on those it was fitted on, as too few can be set aside; other columns pass.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from pyspark.sql import functions as F
 
 FIT_ROWS = 4000
 POOL_ROWS = 2000
+#: Of each class of each label, so many are fitted on, or all.
+CLASS_ROWS = 500
 ROUNDS = 3
 SURE = 0.97
 #: Most documents that a view passes on in a round.
@@ -136,12 +140,15 @@ class Head:
         return sigmoid(apply(self.both, views))
 
 
-def co_train(sets: list[np.ndarray], meta: np.ndarray, y: np.ndarray, pool_sets: list[np.ndarray], pool_meta: np.ndarray, rounds: int = ROUNDS) -> Head:
-    """One label's classifier. Every fourth labelled document calibrates; the others are fitted on."""
-    if not len(y) or min(y.sum(), len(y) - y.sum()) < 12:
+def co_train(sets: list[np.ndarray], meta: np.ndarray, y: np.ndarray, pool_sets: list[np.ndarray], pool_meta: np.ndarray, rounds: int = ROUNDS, odds: float = 1.0) -> Head:
+    """One label's classifier. Every fourth labelled document of a class calibrates; the others are fitted on. odds: how much
+    oftener the sample takes a document with the label than one without."""
+    rarer = min(y.sum(), len(y) - y.sum())
+    if rarer < 1:
         return Head(float(y.mean()) if len(y) else math.nan)
-    aside = np.arange(len(y)) % 4 == 3
-    fit = ~aside
+    nth = np.where(y > 0, np.cumsum(y > 0), np.cumsum(y <= 0))
+    aside = nth % 4 == 0 if rarer >= 8 else np.ones(len(y), bool)
+    fit = ~aside if rarer >= 8 else aside
     fit_sets = [s for s, f in zip(sets, fit, strict=True) if f]
     kinds = informative(fit_sets, y[fit])
     x = {"text": presence(sets, kinds), "meta": meta}
@@ -167,7 +174,9 @@ def co_train(sets: list[np.ndarray], meta: np.ndarray, y: np.ndarray, pool_sets:
                 gx, gy = given[other]
                 given[other] = (np.vstack([gx, pool[other][rows]]), np.concatenate([gy, np.full(len(rows), label)]))
     views = np.stack([apply(weights[v], x[v][aside]) for v in ("text", "meta")], axis=1)
-    return Head(float(y.mean()), kinds, weights["text"], weights["meta"], fit_logistic(views, y[aside], 1e-1), passed)
+    both = fit_logistic(views, y[aside], 1e-1)
+    both[-1] -= math.log(odds)
+    return Head(float(y.mean()), kinds, weights["text"], weights["meta"], both, passed)
 
 
 # ---- on tables
@@ -185,19 +194,29 @@ def with_features(df: DataFrame, text: str, lang: str, source: str) -> DataFrame
     return df.withColumn("f", extract(F.col(text), F.col(lang), F.col(source)))
 
 
+def place(doc_id: str):
+    """A hash of the id, in millionths."""
+    return F.pmod(F.xxhash64(F.lit("fit"), F.col(doc_id).cast("string")), F.lit(1_000_000))
+
+
 def picked(doc_id: str, rate: float):
     """Whether a hash of the id falls below the rate."""
-    return F.pmod(F.xxhash64(F.lit("fit"), F.col(doc_id).cast("string")), F.lit(1_000_000)) < int(rate * 1_000_000)
+    return place(doc_id) < int(rate * 1_000_000)
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", names: tuple[str, ...] = ("quality", "toxic"), rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> dict[str, Head]:
     """A classifier for each label column."""
     labelled = labels.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(*[F.min(n).alias(f"y_{n}") for n in names])
     docs = docs.select(doc_id, text, lang, source)
-    n_labels, n_docs = labelled.count(), docs.count()
-    few = labelled.filter(picked(doc_id, min(1.0, rows / max(1, n_labels))))
+    sizes = [F.count(F.when(c, 1)) for n in names for c in (F.col(f"y_{n}") <= 0, F.col(f"y_{n}") > 0)]
+    (n_labels, *n_class), n_docs = labelled.agg(F.count("*"), *sizes).first(), docs.count()
+    # of a class with few documents, a larger share
+    below = [int(min(1.0, max(rows / max(1, n_labels), CLASS_ROWS / max(1, n))) * 1_000_000) for n in n_class]
+    below = {n: below[2 * i : 2 * i + 2] for i, n in enumerate(names)}
+    most = F.greatest(F.lit(0), F.lit(0), *[F.when(F.col(f"y_{n}") > 0, b[1]).when(F.col(f"y_{n}") <= 0, b[0]) for n, b in below.items()])
+    few = labelled.withColumn("place", place(doc_id)).filter(F.col("place") < most)
     pool = docs.filter(F.col(doc_id).isNotNull() & picked(doc_id, min(1.0, pool_rows / max(1, n_docs))))
-    known = with_features(docs.join(F.broadcast(few), doc_id), text, lang, source).select(doc_id, *[f"y_{n}" for n in names], "f").orderBy(doc_id).collect()
+    known = with_features(docs.join(F.broadcast(few), doc_id), text, lang, source).select(doc_id, *[f"y_{n}" for n in names], "place", "f").orderBy(doc_id).collect()
     near = labels.filter(F.col(doc_id).isNotNull() & picked(doc_id, min(1.0, pool_rows / max(1, n_docs)))).select(doc_id)
     unknown = with_features(pool.join(near, doc_id, "left_anti"), text, lang, source).select(doc_id, "f").orderBy(doc_id).collect()
     width = 8 + 2 * HASHED
@@ -205,8 +224,8 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sets, pool_sets = ([np.frombuffer(r["f"]["words"], np.int64) for r in rs] for rs in (known, unknown))
     out = {}
     for n in names:
-        has = [i for i, r in enumerate(known) if r[f"y_{n}"] is not None]
-        out[n] = co_train([sets[i] for i in has], meta[has], np.array([float(known[i][f"y_{n}"] > 0) for i in has]), pool_sets, pool_meta)
+        has = [i for i, r in enumerate(known) if r[f"y_{n}"] is not None and r["place"] < below[n][r[f"y_{n}"] > 0]]
+        out[n] = co_train([sets[i] for i in has], meta[has], np.array([float(known[i][f"y_{n}"] > 0) for i in has]), pool_sets, pool_meta, odds=below[n][1] / below[n][0])
     return out
 
 

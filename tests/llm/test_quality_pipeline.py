@@ -40,6 +40,14 @@ def test_held_out_accuracy(spark):
     assert len(low) > 5 and sum(low) / len(low) < 0.15
 
 
+def test_rare_classes_are_fitted(spark):
+    docs = spark.createDataFrame([(i, "vile @@## words " * 9 if i % 100 == 0 else f"plain words of kind {i % 7}", "en", "s") for i in range(1000)], "doc_id long, text string, lang string, source string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("doc_id") % 100 == 0).cast("int").alias("toxic"))
+    for rows in (4000, 100):
+        got = quality.classify(docs, quality.fit(docs, labels, rows=rows)).filter(~quality.is_kept())
+        assert sorted(r.doc_id for r in got.collect()) == list(range(0, 1000, 100))
+
+
 def test_without_labels_all_is_kept(spark):
     docs = spark.createDataFrame([(1, "a", None, None, 1), (None, None, "en", "s", None), (3, "x" * 200_000, "en", "s", 1)], "doc_id long, text string, lang string, source string, p int")
     for labels in ([], [(1, None, None), (1, 1, 0)], [(i, 1, 0) for i in range(9)]):
