@@ -65,9 +65,10 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is in the benchmark, exactly or nearly."""
+    """Documents without a passage of the benchmark. One goes if a window of full length occurs in it, however long it is, or if
+    exact and near matches, those of shorter items included, are a twentieth of its words."""
     got = decontam.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
-    bad = got.filter(decontam.is_contaminated(F.col("n_near_hit"), F.col("n_words"))).select(F.col("key").alias("bad_md")).distinct()
+    bad = got.filter(F.col("whole") | decontam.is_contaminated(F.col("n_near_hit"), F.col("n_words"))).select(F.col("key").alias("bad_md")).distinct()
     return docs.join(bad, digest() == F.col("bad_md"), "left_anti")
 
 

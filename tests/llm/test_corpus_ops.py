@@ -46,8 +46,9 @@ def test_decontamination_matches_brute_force(spark, monkeypatch):
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("key", F.lit("clash"))
     b = spark.createDataFrame(items, "item_id long, text string")
     want = sorted((i or -1, *slow_hits(t, items)) for i, t in docs)
-    for block in (decontam.BLOCK_WORDS, 8):
+    for block in (decontam.BLOCK_WORDS, 25):
         monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+        monkeypatch.setattr(decontam, "CHUNK", block % 100 + 4)
         got = decontam.decontaminate(d, b).collect()
         assert sorted((r.doc_id or -1, r.n_words, r.n_hit, list(r["items"])) for r in got) == want
     assert decontam.decontaminate(d.limit(0), b).count() == 0
@@ -85,8 +86,9 @@ def test_near_matches_with_the_rarest_words_edited(spark, monkeypatch):
     b = spark.createDataFrame(items, "item_id long, text string")
     want = {i: {str(k): s for k, x in items if (s := slow_near(t, x))} for i, t in docs}
     assert want[2] and want[3] and not want[4] and want[1].keys() == {"1", "4"} and want[5] and want[6] and want[7]
-    for block in (decontam.BLOCK_WORDS, 8):
+    for block, stretch in ((decontam.BLOCK_WORDS, 256), (45, 5)):
         monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+        monkeypatch.setattr(decontam, "STRETCH", stretch)
         for r in decontam.decontaminate(d, b).collect():
             spans = {}
             for m in r.near:

@@ -80,6 +80,13 @@ def test_near_copies_of_the_benchmark_go(spark):
     assert [r.doc_id for r in stages.decontamination_stage(spark, docs, SF).collect()] == [2]
 
 
+def test_passages_in_long_documents_go(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    long = " ".join(f"w{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, long), (None, None)], "doc_id long, text string")
+    assert [r.doc_id for r in stages.decontamination_stage(spark, docs, SF).orderBy("doc_id").collect()] == [None, 2]
+
+
 def test_mixing_repeats_documents(spark, wild):
     rows = stages.mixing_stage(spark, wild, SF)
     assert rows.columns == wild.columns
@@ -103,7 +110,8 @@ def test_pipeline_against_its_operators(spark):
     found = simhash_dedup.near_duplicates(before).collect()
     assert sorted(r.doc_id for r in after) == sorted({r.component_id for r in found})
     before, after = kept["decontamination"]
-    bad = {r.doc_id for r in decontam.decontaminate(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if r.n_hit and 20 * r.n_hit >= r.n_words}
+    bad = {r.doc_id for r in decontam.decontaminate(before, spark.read.parquet(f"{SF}/benchmark.parquet")).collect() if r.n_hit}
+    # items have at least 13 words, so any occurrence is one of a whole window
     assert bad and sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before.collect() if r.doc_id not in bad)
     mixed, final = kept["mixing"][1], kept["sharding"][1]
     assert sorted(r.doc_id for r in mixed) == sorted(r.doc_id for r in final)
