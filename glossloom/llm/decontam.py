@@ -47,6 +47,10 @@ BETWEEN = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 LAST = "\x00"
 
 
+# Arrays that come from a text are exploded by the outer form only: before the other one, Spark filters the scan for arrays
+# that aren't empty, and for that splits each text several times more.
+
+
 def with_words(df: DataFrame, text: str, *carry: Column) -> DataFrame:
     """carry, ascii and words: the words of the text; those of texts with other than ASCII characters aren't in lower case yet."""
     plain = F.coalesce(F.col(text), F.lit(""))
@@ -69,8 +73,8 @@ def bit(hashed: Column) -> Column:
 
 
 def bits(hashed: Column) -> Column:
-    """The bits of an array of terms."""
-    return F.aggregate(hashed, F.lit(0).cast("long"), lambda b, h: b.bitwiseOR(bit(h)))
+    """The bits of an array of terms. Never null: else Spark asks for that of all tokens, and works it out for each."""
+    return F.coalesce(F.aggregate(hashed, F.lit(0).cast("long"), lambda b, h: b.bitwiseOR(bit(h))), F.lit(0).cast("long"))
 
 
 def item_groups(items: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -92,7 +96,7 @@ def find_anchors(docs: DataFrame, groups: DataFrame, window: int, near_share: fl
     spans = groups.select("grp", "terms", length.alias("len"), F.explode(F.sequence(F.lit(0), F.size("terms") - length)).alias("start"))
     spans = spans.select("grp", "start", "len", F.slice("terms", F.col("start") + 1, F.col("len")).alias("own"))
     terms = spans.select("grp", "start", F.posexplode("own").alias("off", "term"))
-    counted = docs.select("ascii", F.explode("words").alias("w")).select(term(F.col("w")).alias("term"))
+    counted = docs.select("ascii", F.explode_outer("words").alias("w")).select(term(F.col("w")).alias("term"))
     # the block's terms: at most BLOCK_WORDS and a group's words
     counted = counted.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     # a term that comes twice in a window counts once; those that no document has are the rarest
@@ -118,8 +122,8 @@ def places(docs: DataFrame, anchors: DataFrame, window: int) -> DataFrame:
     d = docs.select("doc_id", "key", F.array_append(h, closing).alias("h"))
     lo = lambda i: F.greatest(i - reach, F.lit(0))
     chunk = lambda i: F.struct(i.alias("at"), F.slice("h", lo(i) + 1, i + CHUNK + reach - lo(i)).alias("near"))
-    d = d.select("doc_id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(CHUNK)), chunk)).alias("c")).select("doc_id", "key", "c.at", "c.near")
-    d = d.select("doc_id", "key", "at", "near", F.posexplode(F.slice("near", F.col("at") - lo(F.col("at")) + 1, CHUNK)).alias("i", "term"))
+    d = d.select("doc_id", "key", F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("h") - 1, F.lit(CHUNK)), chunk)).alias("c")).select("doc_id", "key", "c.at", "c.near")
+    d = d.select("doc_id", "key", "at", "near", F.posexplode_outer(F.slice("near", F.col("at") - lo(F.col("at")) + 1, CHUNK)).alias("i", "term"))
     none = docs.sparkSession.range(1)
     wanted = anchors.select("term").distinct().unionByName(none.select(closing.alias("term")))
     d = d.join(F.broadcast(wanted), "term", "left_semi").withColumn("pos", F.col("at") + F.col("i"))
@@ -151,9 +155,8 @@ def matches(found: DataFrame, anchors: DataFrame, groups: DataFrame) -> tuple[Da
     # near: the merged lists of a window's different terms, in stretches that overlap by what a run may reach over
     near = hits.select("key", "grp", "start", "len", "need").distinct().join(F.broadcast(of_grp), F.col("grp") == F.col("g"))
     near = near.select("key", "grp", "start", "len", "need", F.explode(F.array_distinct(own)).alias("term")).join(index, ["key", "term"])
-    part = F.floor(F.col("pos") / STRETCH)
-    before = F.floor((F.col("pos") - F.col("len") + 1) / STRETCH)
-    near = near.withColumn("part", F.explode(F.when((before < part) & (before >= 0), F.array(before, part)).otherwise(F.array(part))))
+    earliest = F.greatest(F.col("pos") - F.col("len") + 1, F.lit(0))
+    near = near.withColumn("part", F.explode(F.sequence(F.floor(earliest / STRETCH), F.floor(F.col("pos") / STRETCH))))
     near = near.groupBy("key", "grp", "start", "part").agg(F.first("len").alias("len"), F.first("need").alias("need"), F.sort_array(F.collect_list(F.struct("pos", "term"))).alias("list")).filter(F.size("list") >= F.col("need"))
     # a run's postings are at most len of those from its first on
     run = lambda i: F.filter(F.slice("list", i + 1, F.col("len")), lambda p: p["pos"] < F.element_at("list", i + 1)["pos"] + F.col("len"))
