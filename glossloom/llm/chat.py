@@ -9,7 +9,8 @@ assistant's turns.
 
 Turns arrive sorted by conversation and are rendered in segments of SEGMENT turns, so memory and the work for a turn are
 bounded however long a conversation is. A template must render a later segment as it would a conversation of its own,
-after its opening; the first two turns of each later segment are checked for that and the segment marked if not.
+after its opening, so it may look back over at most SEGMENT turns; the first two turns of each later segment are checked
+against the turn before and the segment marked if not. Dependence on turns further back isn't seen.
 
 Cases: a null conversation id is a conversation; null roles and texts are empty; equal turn numbers are ordered by role
 and text, null turns come first, repeated rows are turns of their own; an empty table has no conversations.
@@ -20,9 +21,9 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,11 +123,21 @@ def continues(previous: Turn | None, turns: list[Turn], output: str, template: T
     return after.startswith(template([previous])) and after.endswith(alone[len(template([])) :])
 
 
-def plain_rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
-    for pdf in batches:
-        # pandas turns null ids into NaN
-        for conv, role, text in zip(pdf.iloc[:, 0], pdf.iloc[:, 1], pdf.iloc[:, 2], strict=True):
-            yield (None if pd.isna(conv) else conv, "" if role is None else role, "" if text is None else text)
+def plain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """By Arrow, which keeps ids as they are: in pandas a null would turn the ids of its batch into doubles."""
+    for batch in batches:
+        for conv, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            yield conv, "" if role is None else role, "" if text is None else text
+
+
+def with_kind(batches: Iterator[pa.RecordBatch]) -> tuple[Iterator[pa.RecordBatch], pa.DataType]:
+    """The batches, and the type of their first column."""
+    first = next(batches, None)
+    return (iter(()), pa.null()) if first is None else (chain([first], batches), first.schema.field(0).type)
+
+
+def record_batch(rows: list[tuple], schema: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], names=[n for n, _ in schema])
 
 
 def in_order(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -140,18 +151,17 @@ def format_turns(df: DataFrame, template: Template = chatml, conv: str = "conv_i
     text_end in the piece, in_loss, rewrites_history. The pieces of a conversation, joined by n, are its output."""
     kind = dict(df.dtypes)[conv]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches, id_type = with_kind(batches)
+        schema = [("conv", id_type), ("n", pa.int64()), ("piece", pa.string()), ("text_start", pa.int32()), ("text_end", pa.int32()), ("in_loss", pa.bool_()), ("rewrites_history", pa.bool_())]
         last: tuple = (object(), None)
         for c, first, turns, _ in segments(plain_rows(batches)):
             output, spans = render_turns(turns, template)
             broken = not continues(last[1] if last[0] == c else None, turns, output, template)
             last = (c, turns[-1])
-            yield pd.DataFrame(
-                [(c, first + k, output[a:b], x - a, y - a, turns[k][0] == "assistant", r or broken) for k, (a, b, x, y, r) in enumerate(spans)],
-                columns=["conv", "n", "piece", "text_start", "text_end", "in_loss", "rewrites_history"],
-            ).astype({"conv": object})
+            yield record_batch([(c, first + k, output[a:b], x - a, y - a, turns[k][0] == "assistant", r or broken) for k, (a, b, x, y, r) in enumerate(spans)], schema)
 
-    got = in_order(df, conv, turn, role, text).mapInPandas(run, f"conv {kind}, n long, piece string, text_start int, text_end int, in_loss boolean, rewrites_history boolean")
+    got = in_order(df, conv, turn, role, text).mapInArrow(run, f"conv {kind}, n long, piece string, text_start int, text_end int, in_loss boolean, rewrites_history boolean")
     return got.withColumnRenamed("conv", own_name(got, conv) if conv != "conv" else conv)
 
 
@@ -161,9 +171,10 @@ def format_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
     conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, rewrites_history.
     """
     kind = dict(df.dtypes)[conv]
-    columns = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites_history"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches, id_type = with_kind(batches)
+        columns = [("conv_id", id_type), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("rewrites_history", pa.bool_())]
         rows: list[tuple] = []
         state: dict = {}
         previous: Turn | None = None
@@ -185,10 +196,10 @@ def format_digests(df: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
             if last:
                 rows.append((c, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"], state["rewrites"]))
                 if len(rows) >= 1000:
-                    yield pd.DataFrame(rows, columns=columns).astype({"conv_id": object})
+                    yield record_batch(rows, columns)
                     rows = []
         if rows:
-            yield pd.DataFrame(rows, columns=columns).astype({"conv_id": object})
+            yield record_batch(rows, columns)
 
     schema = f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites_history boolean"
-    return in_order(df, conv, turn, role, text).mapInPandas(run, schema)
+    return in_order(df, conv, turn, role, text).mapInArrow(run, schema)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +27,46 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); set here only where it is unset, as in tests."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where it is unset, a local session, as in tests, gets a folder
+    of its own; on a cluster that is an error, as other machines couldn't read it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         at = tempfile.mkdtemp(prefix="glossloom-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+#: Folders that scopes will delete, innermost scope last.
+SCOPES: list[list[str]] = []
+
+
 def new_dir(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/glossloom-{tag}-{uuid.uuid4().hex[:12]}"
+    at = f"{shared_dir(spark)}/glossloom-{tag}-{uuid.uuid4().hex[:12]}"
+    if SCOPES:
+        SCOPES[-1].append(at)
+    return at
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Deletes a folder of the shared folder, in whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside when it ends. What was made of them must be in a table of its own by then.
+
+    Without a scope they stay, as a result that is read later needs them; the cluster empties its folder after the session.
+    """
+    SCOPES.append([])
+    try:
+        yield
+    finally:
+        for at in SCOPES.pop():
+            delete(spark, at)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -191,7 +191,7 @@ def term_blocks(terms: DataFrame) -> Iterator[list]:
 
 
 def with_private_spans(df: DataFrame, text: str = "text", out: str = "private", **thresholds) -> DataFrame:
-    """df with the spans of entities and disclosing terms, and what is to be done with each."""
+    """df with the spans of entities and disclosing terms, and what is to be done with each, under a name of its own if df has a column out."""
     flagged = written(disclosing_terms(df, text, **thresholds), "terms")
     blocks = flagged.select("term", "act").withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, -(-flagged.count() // BLOCK_TERMS)))))
     got, name = df, None
@@ -200,8 +200,8 @@ def with_private_spans(df: DataFrame, text: str = "text", out: str = "private",
         got = with_terms(got, text, dict(rows), name, new)
         got, name = (got.drop(name) if name else got), new
     if name is None:
-        return with_terms(df, text, {}, None, out)
-    return got if name == out else got.withColumnRenamed(name, out) if out not in df.columns else got.drop(out).withColumnRenamed(name, out)
+        return with_terms(df, text, {}, None, own_name(df, out))
+    return got.withColumnRenamed(name, own_name(df, out))
 
 
 def sanitised(df: DataFrame, text: str = "text", spans: str = "private", out: str = "clean_text") -> DataFrame:

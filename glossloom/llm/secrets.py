@@ -7,7 +7,7 @@ windows that count make one span. Candidates that match the allow list are suppr
 the patterns. The allow list never takes away what the patterns find.
 
 Cases: null and empty texts have no spans; repeated rows get equal spans; very long texts are read whole, in time
-proportional to their length; rows and other columns pass unchanged.
+proportional to their length; rows and other columns pass unchanged; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossloom.llm.common import own_name
+
 WINDOW = 20
 KINDS = ("assign", "access", "hex", "entropy")
 #: Bits a character that a window must reach, by character class. A window of 20 has at most 4.32.
@@ -98,7 +100,7 @@ def find_secrets(text: str | None, allow: Sequence[re.Pattern], window: int = WI
 
 
 def with_secrets(df: DataFrame, text: str = "text", out: str = "secrets", allow: Sequence[str] = ALLOW, window: int = WINDOW, thresholds: dict = THRESHOLDS) -> DataFrame:
-    """df with its secrets as an array of (kind, start, end)."""
+    """df with its secrets as an array of (kind, start, end), under a name of its own if df has a column out."""
     patterns = list(allow)
 
     @F.pandas_udf(SPANS)
@@ -107,4 +109,4 @@ def with_secrets(df: DataFrame, text: str = "text", out: str = "secrets", allow:
         for batch in texts:
             yield pd.Series([[{"kind": k, "start": a, "end": b} for a, b, k in find_secrets(t, compiled, window, thresholds)] for t in batch])
 
-    return df.withColumn(out, scan(F.col(text)))
+    return df.withColumn(own_name(df, out), scan(F.col(text)))

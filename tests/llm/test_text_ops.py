@@ -64,6 +64,8 @@ def test_secret_rows_and_columns_stay(spark):
     assert got.columns == ["doc_id", "text", "kind", "secrets"]
     assert sorted(len(r.secrets) for r in got.collect()) == [0, 1, 1]
     assert secrets.with_secrets(df.limit(0)).count() == 0
+    again = secrets.with_secrets(df.withColumn("secrets", F.lit("own")))
+    assert again.columns[-2:] == ["secrets", "secrets_"] and {r.secrets for r in again.collect()} == {"own"}
 
 
 def slow_entities(t):
@@ -143,3 +145,12 @@ def test_chat_tables(spark):
     assert [r.piece[r.text_start : r.text_end] for r in pieces] == [f"t{i}" for i in range(300)]
     assert chat.format_digests(df.limit(0)).count() == 0
     assert chat.format_turns(df.filter(F.col("conv_id").isNull())).first().conv_id is None
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "int"])
+def test_ids_of_conversations(spark, kind):
+    ids = {"long": [None, 2**53, 2**53 + 1, -(2**63), 2**63 - 1], "int": [None, 1, -1], "string": [None, "", "a"]}[kind]
+    df = spark.createDataFrame([(i, 0, "assistant", f"text of {i}") for i in ids], f"conv_id {kind}, turn long, role string, text string").coalesce(1)
+    got = {r.conv_id: (r.n_turns, r.loss_sha256) for r in chat.format_digests(df).collect()}
+    assert got == {i: (1, hashlib.sha256(f"text of {i}".encode()).hexdigest()) for i in ids}
+    assert {r.conv_id: r.piece for r in chat.format_turns(df).collect()} == {i: chat.chatml([("assistant", f"text of {i}")]) for i in ids}
