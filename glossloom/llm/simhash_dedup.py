@@ -3,14 +3,17 @@
 Fingerprint: each 3-word shingle's XXH64 votes on 64 bits; a bit is set with more than half of the votes.
 
 Links (at most RADIUS differing bits) are found between the different fingerprints only; copies share theirs. A
-fingerprint is cut into BLOCKS blocks of segments and embedded as its segments' bit counts. The Manhattan distance of two
-embeddings is at most their Hamming distance, so linked fingerprints are within RADIUS of each other in the embedding;
-then at least BLOCKS - RADIUS blocks have equal counts. Each choice of so many blocks is a grid whose cell is the counts of
-those blocks: linked fingerprints share a cell of some grid. Within a cell, candidates are verified on the bits.
-
-A cell yields a spanning forest of its links, not its pairs. Cells of up to DENSE fingerprints are compared in full, in
-slices. A larger cell is dealt again on finer grids made of the bits themselves: of 16 blocks of 4 bits any 13 must be
-equal, so a cell of those differs in 12 bits and holds at most 4096 fingerprints, whatever the data.
+fingerprint is cut into segments of SEGMENT_BITS and embedded as its segments' bit counts. The Manhattan distance of two
+embeddings is at most their Hamming distance, so linked fingerprints are within RADIUS of each other in the embedding.
+The segments form BLOCKS blocks, of which at least BLOCKS - RADIUS then have equal counts. Each choice of so many blocks is a
+grid whose cell is the counts of those blocks: linked fingerprints share a cell of some grid. Within a cell runs a range
+join: only fingerprints whose whole bit counts are at most RADIUS apart meet (these differ by no more than the Manhattan
+distance), those within RADIUS by the Manhattan distance are candidates, and candidates are verified on the bits.
+
+A cell yields a spanning forest of its links, not its pairs. Cells of up to DENSE fingerprints are compared so. The
+fingerprints of larger cells are dealt again on finer grids of the embedding, of FINE_BLOCKS blocks. Segments with one bit
+set look alike in the embedding, so a cell may stay large even there; its fingerprints are dealt on the bits of the same
+blocks, where all but 12 bits are equal and a cell holds at most 4096 fingerprints, whatever the data.
 
 Components come from the forest by passing on smallest fingerprints with pointer jumping, one checkpoint a round; no
 links or labels reach the driver.
@@ -32,11 +35,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossloom.llm.common import new_dir, written
+from glossloom.llm.common import delete, new_dir, own_name, written
 
 RADIUS = 3
 BLOCKS = 6
-#: Bits of a segment; popcount_key counts pairs.
+#: Bits of a segment; segment_counts counts pairs.
 SEGMENT_BITS = 2
 DENSE = 4096
 FINE_BLOCKS = 16
@@ -61,56 +64,51 @@ def fingerprint_bytes(data: bytes, shingle: int = 3) -> int:
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fp", shingle: int = 3) -> DataFrame:
-    """df with the fingerprint of the text, as a signed 64-bit number."""
+    """df with the fingerprint of the text, as a signed 64-bit number, under a name of its own if df has a column out."""
 
     @F.pandas_udf("long")
     def fingerprint(texts: pd.Series) -> pd.Series:
         got = np.array([fingerprint_bytes(t.encode("utf-8", "surrogatepass"), shingle) if t else 0 for t in texts], dtype=np.uint64)
         return pd.Series(got.view(np.int64))
 
-    return df.withColumn(out, fingerprint(F.col(text)))
-
-
-def block_bounds(blocks: int) -> list[tuple[int, int]]:
-    """Starts and ends of the blocks, in bits, each of whole segments where they fit."""
-    step = 64 // SEGMENT_BITS
-    cuts = [round(i * step / blocks) * SEGMENT_BITS for i in range(blocks + 1)]
-    return list(zip(cuts, cuts[1:], strict=False))
+    return df.withColumn(own_name(df, out), fingerprint(F.col(text)))
 
 
-def popcount_key(fp: Column, blocks: list[tuple[int, int]]) -> Column:
-    """The segments' bit counts of the blocks, as one number: two bits for each count, up to 32 counts."""
+def segment_counts(fp: Column) -> Column:
+    """The embedding in one number: the bit count of each segment (a pair of bits), in two bits."""
     odd, pairs = F.lit(0x5555555555555555), F.shiftrightunsigned(fp, 1)
     # of the bits in a pair: one of two, and both
-    counts = fp.bitwiseXOR(pairs).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(pairs).bitwiseAND(odd), 1))
-    mask = sum(((1 << (b - a)) - 1) << a for a, b in blocks)
-    return counts.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+    return fp.bitwiseXOR(pairs).bitwiseAND(odd).bitwiseOR(F.shiftleft(fp.bitwiseAND(pairs).bitwiseAND(odd), 1))
 
 
-def grid_cells(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """fp with each grid and cell it lies in."""
-    bounds = block_bounds(blocks)
-    grids = [F.struct(F.lit(i).alias("grid"), popcount_key(F.col("fp"), list(some)).alias("cell")) for i, some in enumerate(combinations(bounds, blocks - radius))]
-    return fps.select("fp", F.explode(F.array(*grids)).alias("g")).select("fp", "g.grid", "g.cell")
+def unary_counts(fps: np.ndarray) -> np.ndarray:
+    """The embedding with counts in unary, 0 as 00, 1 as 01 and 2 as 11: the Manhattan distance is the number of bits that differ."""
+    odd = np.uint64(0x5555555555555555)
+    pairs = fps >> np.uint64(1)
+    return ((fps | pairs) & odd) | ((fps & pairs & odd) << np.uint64(1))
+
+
+def grid_masks(blocks: int, radius: int) -> list[int]:
+    """For each grid the bits of its blocks, which are all but radius of them; blocks consist of whole segments."""
+    step = 64 // SEGMENT_BITS
+    cuts = [round(i * step / blocks) * SEGMENT_BITS for i in range(blocks + 1)]
+    masks = [sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in some) for some in combinations(range(blocks), blocks - radius)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def fine_cells(fps: DataFrame, radius: int = RADIUS, blocks: int = FINE_BLOCKS) -> DataFrame:
-    """fp with each cell of the fine grids: all bits but those of `radius` blocks."""
-    width = 64 // blocks
-    masks = []
-    for out in combinations(range(blocks), radius):
-        mask = (1 << 64) - 1
-        for b in out:
-            mask &= ~(((1 << width) - 1) << (b * width))
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    got = fps.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("grid", "mask"))
-    return got.select("fp", "grid", F.col("fp").bitwiseAND(F.col("mask")).alias("cell"))
+def grid_cells(fps: DataFrame, key: Column, blocks: int, radius: int = RADIUS) -> DataFrame:
+    """fp with each grid and the cell of key (of a number of 64 bits) it lies in."""
+    got = fps.select("fp", key.alias("k"), F.posexplode(F.array(*[F.lit(m) for m in grid_masks(blocks, radius)])).alias("grid", "mask"))
+    return got.select("fp", "grid", F.col("k").bitwiseAND(F.col("mask")).alias("cell"))
 
 
-def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between different fingerprints: for each a link to a linked one found before."""
-    n = len(fps)
-    parent = np.arange(n)
+def forest(fps: np.ndarray, radius: int) -> np.ndarray:
+    """A spanning forest of the links between different fingerprints, as two columns of fingerprints."""
+    fps = fps[np.argsort(np.bitwise_count(fps), kind="stable")]
+    totals = np.bitwise_count(fps).astype(np.int64)
+    ends = np.searchsorted(totals, totals + radius, "right")
+    unary = unary_counts(fps)
+    parent = np.arange(len(fps))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -119,14 +117,14 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
         return x
 
     links = []
-    for i in range(n - 1):
-        near = np.nonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= radius)[0]
-        for j in near + i + 1:
+    for i in range(len(fps) - 1):
+        near = np.nonzero(np.bitwise_count(unary[i + 1 : ends[i]] ^ unary[i]) <= radius)[0] + i + 1
+        for j in near[np.bitwise_count(fps[near] ^ fps[i]) <= radius]:
             a, b = root(i), root(int(j))
             if a != b:
                 parent[max(a, b)] = min(a, b)
                 links.append((i, int(j)))
-    return links
+    return fps[np.array(links, np.int64).reshape(-1, 2)]
 
 
 def cell_links(cells: DataFrame, radius: int) -> DataFrame:
@@ -144,14 +142,9 @@ def cell_links(cells: DataFrame, radius: int) -> DataFrame:
             starts = np.concatenate([[0], edge])
             ends = np.concatenate([edge, [block.shape[1]]])
             for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                fps = block[2, s:e]
-                if e - s == 2:
-                    if int(fps[0] ^ fps[1]) and np.bitwise_count((fps[:1] ^ fps[1:]).view(np.uint64))[0] <= radius:
-                        a_out.append(fps.reshape(1, 2))
-                else:
-                    links = forest(fps.view(np.uint64), radius)
-                    if links:
-                        a_out.append(fps[np.array(links)])
+                found = forest(block[2, s:e].view(np.uint64), radius)
+                if len(found):
+                    a_out.append(found.view(np.int64))
 
         def out() -> Iterator[pa.RecordBatch]:
             if a_out:
@@ -177,15 +170,17 @@ def cell_links(cells: DataFrame, radius: int) -> DataFrame:
 
 def fingerprint_links(fps: DataFrame, radius: int = RADIUS, dense: int = DENSE) -> DataFrame:
     """a < b: links that connect whatever is linked, over a table of different fingerprints (column fp)."""
-    cells = grid_cells(fps, radius)
-    crowded = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > dense), "crowded")
-    key = (F.col("grid") == F.col("g2")) & (F.col("cell") == F.col("c2"))
-    if crowded.isEmpty():
-        return cell_links(cells, radius).distinct()
-    named = crowded.select(F.col("grid").alias("g2"), F.col("cell").alias("c2"))
-    links = cell_links(cells.join(named, key, "left_anti"), radius)
-    again = cells.join(named, key, "left_semi").select("fp").distinct()
-    return links.unionByName(cell_links(fine_cells(again, radius), radius)).distinct()
+    links = fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    for blocks in (BLOCKS, FINE_BLOCKS):
+        cells = grid_cells(fps, segment_counts(F.col("fp")), blocks, radius)
+        crowded = written(cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > dense), "crowded")
+        if crowded.isEmpty():
+            return links.unionByName(cell_links(cells, radius)).distinct()
+        named = crowded.select(F.col("grid").alias("g2"), F.col("cell").alias("c2"))
+        same = (F.col("grid") == F.col("g2")) & (F.col("cell") == F.col("c2"))
+        links = links.unionByName(cell_links(cells.join(named, same, "left_anti"), radius))
+        fps = written(cells.join(named, same, "left_semi").select("fp").distinct(), "crowd")
+    return links.unionByName(cell_links(grid_cells(fps, F.col("fp"), FINE_BLOCKS, radius), radius)).distinct()
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -206,6 +201,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("l")).select("l.*").filter("u <> v").distinct()
         k += 1
         small.write.parquet(f"{at}/{k}")
+        delete(spark, f"{at}/{k - 1}")
         now = spark.read.schema(small.schema).parquet(f"{at}/{k}")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
@@ -227,5 +223,6 @@ def component_roots(smallest: DataFrame, radius: int = RADIUS) -> DataFrame:
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = 3) -> DataFrame:
     """One row for each row of df: doc_id, fingerprint (16 hex digits), component_id (the smallest id reachable)."""
     rows = written(with_fingerprint(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "fp", shingle).select("doc_id", "fp"), "fingerprints")
-    per_fp = component_roots(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), radius).withColumnRenamed("fp", "f")
+    # as a table of its own: its rows can then be joined to the copies of a hot fingerprint in parts
+    per_fp = written(component_roots(rows.groupBy("fp").agg(F.min("doc_id").alias("least_id")), radius), "classes").withColumnRenamed("fp", "f")
     return rows.join(per_fp, F.col("fp") == F.col("f")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
