@@ -5,8 +5,12 @@ the source is taken e times; the rest is filled with a weighted sample without r
 gets the exponential key -ln(u) / quality, with u from a hash of its id and a seed; documents are taken by ascending key
 while the prefix sum stays within the rest, and the one that reaches over it is taken if that ends nearer to the budget.
 
-The prefix sums need no sort of a whole source: documents fall in blocks by their key, block totals give the block in
-which the budget ends, and only that block is sorted.
+The prefix sums need no sort of a whole source: documents fall in blocks by the logarithm of their key, block totals give
+the block in which the budget ends, and only that block is sorted. Of exponential keys of any rates, and so of documents of any
+qualities, at most a share of d / e falls in a step of d of the logarithm, so no block is much larger than BLOCK_ROWS.
+Equal rows are one row with a count until the end, so many copies of a row aren't one large block either.
+
+The windows of source_targets run over one row a source in one task: a long, two doubles and a name each.
 
 Cases: null texts and texts without words have size 0 and are taken 0 times; null ids and repeated rows hash alike and
 are told apart by text; a null or non-positive quality counts as the least quality; null sources form the last source;
@@ -22,10 +26,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossloom.llm.common import own_name
+from glossloom.llm.common import own_name, written
 
 #: Documents of a source in one block, on average.
 BLOCK_ROWS = 20_000
+#: Sources whose targets are broadcast; with more they are joined by shuffle.
+MOST_BROADCAST = 100_000
 LEAST_QUALITY = 0.05
 SEED = "mix-1"
 #: Words are runs of anything but ASCII white space.
@@ -75,31 +81,36 @@ def source_targets(sizes: DataFrame, source: str, size: str, weights: Sequence[f
 
 
 def mix(df: DataFrame, size: str, source: str, key: str, targets: DataFrame, tie: Sequence[str]) -> DataFrame:
-    """df with source_size, target and taken (words, repeats counted). df is narrow: no texts.
+    """df with source_size, target and taken (words, repeats counted), under names of their own if df has such columns.
+    df is narrow: no texts.
 
-    key: the exponential key; tie: columns that order equal keys.
+    key: the exponential key, above 0; tie: columns that order equal keys, and with them name all that tells rows apart.
     """
-    block, total, before, rest, inside = (own_name(df, x) for x in ("_block", "_total", "_before", "_rest", "_inside"))
-    epochs, fill = own_name(df, "_epochs"), own_name(df, "_fill")
-    blocks = max(1, math.ceil(df.count() / BLOCK_ROWS))
-    t = targets.withColumnRenamed(source, f"{source}_t")
-    got = df.join(F.broadcast(t) if blocks < 50 else t, F.col(source).eqNullSafe(F.col(f"{source}_t"))).drop(f"{source}_t")
-    got = got.withColumn(epochs, F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    got = got.withColumn(fill, F.col("target") - F.col(epochs) * F.col("source_size"))
-    # keys are near exponential; this deals them about evenly, in their order
-    got = got.withColumn(block, F.floor((F.lit(1.0) - F.exp(-F.col(key))) * blocks).cast("long"))
-    sums = got.groupBy(source, block).agg(F.sum(size).alias(total))
+    block, total, before, inside, epochs, fill, n, i, of, per = (own_name(df, x) for x in ("_block", "_total", "_before", "_inside", "_epochs", "_fill", "_n", "_i", "_of", "_per"))
+    source_size, target, taken = (own_name(df, x) for x in ("source_size", "target", "taken"))
+    t = written(targets.select(F.col(source).alias(of), F.col("source_size").alias(source_size), F.col("target").alias(target)), "targets")
+    t = F.broadcast(t) if t.count() <= MOST_BROADCAST else t
+    rows = df.count()
+    # blocks of one source have BLOCK_ROWS rows at most, all but by chance
+    steps = max(1, math.ceil(rows / BLOCK_ROWS / math.e))
+    got = df.groupBy(*df.columns).agg(F.count("*").alias(n))
+    got = got.join(t, F.col(source).eqNullSafe(F.col(of))).drop(of)
+    got = got.withColumn(epochs, F.when(F.col(source_size) > 0, F.floor(F.col(target) / F.col(source_size))).otherwise(0).cast("long"))
+    got = got.withColumn(fill, F.col(target) - F.col(epochs) * F.col(source_size))
+    got = got.withColumn(block, F.floor(F.log(key) * steps).cast("long"))
+    sums = got.groupBy(source, block).agg(F.sum(F.col(size) * F.col(n)).alias(total))
     earlier = Window.partitionBy(source).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn(before, F.coalesce(F.sum(total).over(earlier), F.lit(0)))
-    sums = sums.withColumnsRenamed({source: f"{source}_s", block: f"{block}_s"})
-    got = got.join(sums, F.col(source).eqNullSafe(F.col(f"{source}_s")) & (F.col(block) == F.col(f"{block}_s"))).drop(f"{source}_s", f"{block}_s")
+    sums = sums.withColumn(before, F.coalesce(F.sum(total).over(earlier), F.lit(0))).withColumnsRenamed({source: of, block: per})
+    got = got.join(sums, F.col(source).eqNullSafe(F.col(of)) & (F.col(block) == F.col(per))).drop(of, per)
     ends_here = (F.col(before) < F.col(fill)) & (F.col(before) + F.col(total) > F.col(fill))
     order = Window.partitionBy(source, block).orderBy(F.col(key), *[F.col(c).asc_nulls_last() for c in tie]).rowsBetween(Window.unboundedPreceding, -1)
-    cut = got.filter(ends_here).withColumn(inside, F.col(before) + F.coalesce(F.sum(size).over(order), F.lit(0)))
+    copies = F.explode(F.sequence(F.lit(1), F.col(n))).alias(i)
+    cut = got.filter(ends_here).withColumn(inside, F.col(before) + F.coalesce(F.sum(F.col(size) * F.col(n)).over(order), F.lit(0)))
+    cut = cut.select("*", copies).withColumn(inside, F.col(inside) + (F.col(i) - 1) * F.col(size))
     takes = (F.col(inside) < F.col(fill)) & ((F.col(inside) + F.col(size) <= F.col(fill)) | (F.col(inside) + F.col(size) - F.col(fill) <= F.col(fill) - F.col(inside)))
-    cut = cut.withColumn("taken", F.col(size) * (F.col(epochs) + F.when(takes, 1).otherwise(0)))
-    whole = got.filter(~ends_here).withColumn("taken", F.col(size) * (F.col(epochs) + F.when(F.col(before) < F.col(fill), 1).otherwise(0)))
-    return whole.select(*df.columns, "source_size", "target", "taken").unionByName(cut.select(*df.columns, "source_size", "target", "taken"))
+    cut = cut.withColumn(taken, F.col(size) * (F.col(epochs) + F.when(takes, 1).otherwise(0)))
+    whole = got.filter(~ends_here).select("*", copies).withColumn(taken, F.col(size) * (F.col(epochs) + F.when(F.col(before) < F.col(fill), 1).otherwise(0)))
+    return whole.select(*df.columns, source_size, target, taken).unionByName(cut.select(*df.columns, source_size, target, taken))
 
 
 def sample_keys(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", quality: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:

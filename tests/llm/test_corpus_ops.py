@@ -186,6 +186,25 @@ def test_better_documents_are_taken_more(spark):
     assert t[1] > 1.5 * t[0] and abs(t[0] + t[1] - 2400) <= 4
 
 
+def test_blocks_of_keys_are_even_and_copies_are_one_row(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 100)
+    rng = random.Random(6)
+    # most documents of the least quality, and one row that is a third of all
+    rows = [(i, "s", 5, -math.log(1 - rng.random()) / (0.05 if i % 5 else 1.0)) for i in range(6000)] + [(-1, "s", 7, 9.0)] * 3000
+    blocks = Counter(math.floor(math.log(k) * math.ceil(9000 / 100 / math.e)) for i, _, _, k in rows if i >= 0)
+    assert max(blocks.values()) < 150
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, key double").withColumn("target", F.lit("own"))
+    got = mixing.mix(df, "size", "source", "key", mixing.source_targets(df, "source", "size", (1.0,), 0.6, 2.0), ["doc_id", "size"])
+    assert got.columns == [*df.columns, "source_size", "target_", "taken"]
+    got = sorted((r.key, r.doc_id, r.taken) for r in got.collect())
+    assert len(got) == 9000
+    left, want = 0.6 * sum(r[2] for r in rows), []
+    for k, i, size in sorted((r[3], r[0], r[2]) for r in rows):
+        want.append((k, i, size if left > 0 and (size <= left or size - left <= left) else 0))
+        left -= size
+    assert [g[:2] for g in got] == [w[:2] for w in want] and sorted(got) == sorted(want)
+
+
 # ---- fingerprints
 
 
@@ -230,7 +249,7 @@ def test_near_duplicates_match_brute_force(spark):
     assert simhash_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("dense", [4096, 3])
+@pytest.mark.parametrize("dense", [4096, 3, 1])
 def test_links_of_planted_clusters(spark, dense):
     rng = random.Random(5)
     fps = set()
@@ -250,11 +269,29 @@ def test_links_of_planted_clusters(spark, dense):
 
 def test_popcount_embedding_is_a_lower_bound(spark):
     rng = random.Random(2)
-    xs = [rng.getrandbits(63) for _ in range(50)]
-    df = spark.createDataFrame([(x,) for x in xs], "fp long")
-    keys = [r[0] % 2**64 for r in df.select(simhash_dedup.popcount_key(F.col("fp"), [(0, 64)])).collect()]
-    for x, k in zip(xs, keys, strict=True):
-        assert [(k >> i) & 3 for i in range(0, 64, 2)] == [bin((x >> i) & 3).count("1") for i in range(0, 64, 2)]
+    xs = [rng.getrandbits(64) for _ in range(50)]
+    counts = lambda x: [bin((x >> i) & 3).count("1") for i in range(0, 64, 2)]
+    df = spark.createDataFrame([(x - 2**64 if x >> 63 else x,) for x in xs], "fp long")
+    keys = [r[0] % 2**64 for r in df.select(simhash_dedup.segment_counts(F.col("fp"))).collect()]
+    assert [[(k >> i) & 3 for i in range(0, 64, 2)] for k in keys] == [counts(x) for x in xs]
+    unary = simhash_dedup.unary_counts(np.array(xs, np.uint64))
+    for x, a in zip(xs, unary, strict=True):
+        for y, b in zip(xs, unary, strict=True):
+            manhattan = sum(abs(p - q) for p, q in zip(counts(x), counts(y), strict=True))
+            assert np.bitwise_count(a ^ b) == manhattan <= bin(x ^ y).count("1")
+
+
+def test_forest_connects_what_is_linked():
+    rng = random.Random(4)
+    fps = {rng.getrandbits(64) for _ in range(30)}
+    for x in list(fps):
+        for _ in range(9):
+            x ^= sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4)))
+            fps.add(x)
+    got = simhash_dedup.forest(np.array(sorted(fps), np.uint64), 3)
+    want = slow_components(fps)
+    assert all(bin(int(a) ^ int(b)).count("1") <= 3 for a, b in got)
+    assert len(got) == len(fps) - len(set(want.values()))
 
 
 def test_long_chain_is_one_component(spark):
@@ -307,6 +344,17 @@ def test_next_documents(spark, monkeypatch, size):
     assert fingerprint.by_descending_id(df.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("ids", [[*range(5000), 10**15], [-(2**62), 2**62, 2**62 + 5, 2**63 - 1, -(2**63)], [7] * 2000 + [None] * 2000 + [*range(1000)], [9] * 3000, [2**62 + i for i in range(3000)]])
+def test_ranges_of_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(fingerprint, "RANGE_ROWS", 100)
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rng", F.lit("clash"))
+    got = [r for r in fingerprint.by_descending_id(df, "doc_id", "text").collect() if not r.last]
+    assert max(Counter(r.rng for r in got).values()) <= 400
+    order = [t for _, t in sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashlib.md5(r[1].encode()).hexdigest()))]
+    assert {r.text: r.next_text for r in got} == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
 def test_fingerprint_query(spark):
     docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
     df = queries.op10_fingerprints(spark, SF)
