@@ -25,9 +25,16 @@ def is_chinese(t: Column) -> Column:
     return F.when(han_count(t) == 0, False).when(t.rlike(KANA), False).when(t.rlike(CHINESE_MARKS) | t.rlike(CHINESE_WORDS), True).otherwise(han_count(t) >= 4)
 
 
-def rejection(s: Column, target: str = "zh-CN", skip_pure_han: bool | Column = False) -> Column:
+def plain(s: Column, trimmed: bool) -> Column:
+    """The text that a decision is about. It stands in an expression many times over, so callers that decide on many lines
+    put the trimmed text in a column and say so."""
+    s = F.coalesce(s, F.lit(""))
+    return s if trimmed else trim(s)
+
+
+def rejection(s: Column, target: str = "zh-CN", skip_pure_han: bool | Column = False, trimmed: bool = False) -> Column:
     """Why a line is no unit: empty, long, url, junk, spaces, target; null if it is one."""
-    t = trim(F.coalesce(s, F.lit("")))
+    t = plain(s, trimmed)
     out = F.when(t == "", "empty").when(F.length(t) > LONGEST, "long").when(t.rlike(URL), "url").when(t.rlike(JUNK), "junk").when(t.rlike(f"{WS}{{3}}"), "spaces")
     if target.startswith("zh"):
         skip = skip_pure_han if isinstance(skip_pure_han, Column) else F.lit(skip_pure_han)
@@ -36,16 +43,16 @@ def rejection(s: Column, target: str = "zh-CN", skip_pure_han: bool | Column = F
     return out
 
 
-def is_translatable(s: Column, target: str = "zh-CN", skip_pure_han: bool | Column = False) -> Column:
+def is_translatable(s: Column, target: str = "zh-CN", skip_pure_han: bool | Column = False, trimmed: bool = False) -> Column:
     """Lines of text files."""
-    return rejection(s, target, skip_pure_han).isNull()
+    return rejection(s, target, skip_pure_han, trimmed).isNull()
 
 
-def is_translatable_doc(s: Column, target: str = "zh-CN") -> Column:
+def is_translatable_doc(s: Column, target: str = "zh-CN", trimmed: bool = False) -> Column:
     """Text of documents: without the rules for addresses and runs of spaces."""
-    t = trim(F.coalesce(s, F.lit("")))
-    plain = (t != "") & (F.length(t) <= LONGEST) & ~t.rlike(JUNK)
-    return plain & ~is_chinese(t) if target.startswith("zh") else plain
+    t = plain(s, trimmed)
+    kept = (t != "") & (F.length(t) <= LONGEST) & ~t.rlike(JUNK)
+    return kept & ~is_chinese(t) if target.startswith("zh") else kept
 
 
 def is_pdf_noise(t: Column) -> Column:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: White space as text formats see it: Java's \s has only the ASCII part of it.
 WS = "[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
+#: The same characters as a string.
+WHITE = "\t\n\x0b\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 HAN = "[\\x{4E00}-\\x{9FFF}]"
 KANA = "[\\x{3040}-\\x{30FF}\\x{FF61}-\\x{FF9F}]"
 KANA_HANGUL = "[\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]"
@@ -15,7 +17,7 @@ DIGITS36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
 def trim(s: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(s, f"^{WS}+", ""), f"{WS}+\\z", "")
+    return F.btrim(s, F.lit(WHITE))
 
 
 def han_count(s: Column) -> Column:

@@ -59,8 +59,19 @@ def doc_type_of(name: Column) -> Column:
     return out
 
 
+# Arrays made from a text are exploded by the outer form: before the other one Spark filters for arrays that aren't empty, and
+# works each out once more for that.
+
+
 def lines(files: DataFrame, *keep: str) -> DataFrame:
-    return files.select("file", *keep, F.posexplode(F.split("text", "\\r?\\n")).alias("line_index", "line"))
+    """One row for each line; a null text is one null line."""
+    return files.select("file", *keep, F.posexplode_outer(F.split("text", "\\r?\\n")).alias("line_index", "line"))
+
+
+def trimmed_lines(files: DataFrame, *keep: str, text: str = "text") -> DataFrame:
+    """keep, line_index, line and original, the trimmed line, as columns of their own: what is decided on them works on them as they are."""
+    both = F.transform(F.split(text, "\\r?\\n"), lambda x: F.struct(x.alias("line"), trim(x).alias("original")))
+    return files.select(*keep, F.posexplode_outer(both).alias("line_index", "l")).select(*keep, "line_index", "l.line", "l.original")
 
 
 def one(original: Column, raw: Column, tags: Column | None = None, quote: Column | None = None) -> Column:
@@ -135,9 +146,11 @@ def numbered(found: Column) -> Column:
 
 def units_of(rows: DataFrame, matches: Column, ex: Column, target: str, skip_pure_han: Column) -> DataFrame:
     """The units of lines (file, line_index, line and what the columns need)."""
-    found = F.filter(matches, lambda m: (m["original"] != "") & is_translatable(m["original"], target, skip_pure_han))
-    rows = rows.select("file", "line_index", ex.alias("ex"), found.alias("found")).filter(F.size("found") > 0)
-    rows = rows.select("file", "line_index", "ex", F.explode(numbered(F.col("found"))).alias("u"))
+    # the trimmed text is worked out once for each match
+    fits = lambda m: F.exists(F.array(trim(m["original"])), lambda t: is_translatable(t, target, skip_pure_han, trimmed=True))
+    found = F.filter(matches, lambda m: (m["original"] != "") & fits(m))
+    rows = rows.select("file", "line_index", ex.alias("ex"), found.alias("found")).select("file", "line_index", "ex", numbered(F.col("found")).alias("us"))
+    rows = rows.select("file", "line_index", "ex", F.explode_outer("us").alias("u")).filter(F.col("u").isNotNull())
     return rows.select("file", "line_index", F.col("u.occurrence").alias("occurrence"), "u.m.original", "u.m.raw", "ex", "u.m.tags", "u.m.quote")
 
 
@@ -166,8 +179,9 @@ def unit_id(df: DataFrame) -> Column:
 def doc_plain_units(files: DataFrame, target: str = "zh-CN") -> DataFrame:
     """Units of plain documents: file, seq (dense, from 0), line_index, original, raw. Numbered inside the document's row."""
     all_lines = F.transform(F.split("text", "\\r?\\n"), lambda x, i: F.struct(i.alias("line_index"), x.alias("raw"), trim(x).alias("original")))
-    kept = F.filter(all_lines, lambda u: is_translatable_doc(u["original"], target))
-    return files.select("file", F.posexplode(kept).alias("seq", "u")).select("file", "seq", "u.line_index", "u.original", "u.raw")
+    kept = F.filter(all_lines, lambda u: is_translatable_doc(u["original"], target, trimmed=True))
+    rows = files.select("file", F.posexplode_outer(kept).alias("seq", "u")).filter(F.col("u").isNotNull())
+    return rows.select("file", "seq", "u.line_index", "u.original", "u.raw")
 
 
 def dense_seq(df: DataFrame, by: list[str], order: list[str], name: str = "seq") -> DataFrame:

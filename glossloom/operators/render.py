@@ -83,18 +83,34 @@ def nth_position(line: Column, raw: Column, n: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda p, i: F.when((i > 0) & (p == 0), F.lit(0)).otherwise(F.call_function("locate", raw, line, p + 1)))
 
 
+def put_back(pieces: DataFrame, edits: DataFrame, key: str, at: str, of_piece: list[str], of_edit: list[str], text: Column, between: str, out: str) -> DataFrame:
+    """key, out: the pieces of each key, changed by text, joined in the order of at. text is over the columns of_piece and
+    of_edit of one piece; where a piece has no edit, these are null.
+
+    Pieces and edits are dealt by key in one shuffle of both; a key's pieces meet their edits and are joined where they lie. A
+    key whose only piece has a null place had a null text, and gets one back. Edits without a piece are left out.
+    """
+    here = F.lit(True)
+    none = [F.lit(None).cast(t).alias(c) for c, t in edits.dtypes if c in of_edit]
+    every = pieces.select(key, at, *of_piece, here.alias("_here"), *none)
+    none = [F.lit(None).cast(t).alias(c) for c, t in pieces.dtypes if c in of_piece]
+    every = every.unionByName(edits.select(key, at, *none, F.lit(None).cast("boolean").alias("_here"), *of_edit))
+    one = every.repartition(key).groupBy(key, at).agg(*[F.first(c, ignorenulls=True).alias(c) for c in [*of_piece, *of_edit, "_here"]])
+    got = one.filter("_here").select(key, at, text.alias("_t")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, "_t"))).alias("_g"), F.max(at).alias("_last"))
+    return got.select(key, F.when(F.col("_last").isNotNull(), F.array_join("_g._t", between)).alias(out))
+
+
 def rebuild(files: DataFrame, units: DataFrame, mode: str = "translated") -> DataFrame:
-    """file, text: each file with its units replaced. Line ends stay as they are.
+    """file, text: each file with its units replaced. Line ends stay as they are; null texts stay null.
 
     Positions are those in the original line, so replacing one copy of a string doesn't move the others. Units need
     file, line_index, occurrence, original, raw, translated, ex, tags.
     """
     if mode == "original":
         return files.select("file", "text")
-    text = files.select("file", F.split("text", "\\r?\\n").alias("ls"), F.regexp_extract_all("text", F.lit("\\r?\\n"), F.lit(0)).alias("ends"))
-    rows = text.select("file", F.posexplode(F.transform("ls", lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get("ends", i), F.lit("")).alias("end")))).alias("line_index", "l")).select("file", "line_index", "l.*")
+    cut = files.select("file", F.split("text", "\\r?\\n").alias("line"), F.regexp_extract_all("text", F.lit("\\r?\\n"), F.lit(0)).alias("end"))
+    rows = cut.select("file", F.posexplode_outer(F.arrays_zip("line", "end")).alias("line_index", "l")).select("file", "line_index", "l.line", "l.end")
     held = units.groupBy("file", "line_index").agg(F.collect_list(F.struct("occurrence", "original", "raw", "translated", "ex", "tags")).alias("us"))
-    joined = rows.join(held, ["file", "line_index"], "left")
     line = F.col("line")
 
     def edit(u: Column) -> Column:
@@ -116,17 +132,15 @@ def rebuild(files: DataFrame, units: DataFrame, mode: str = "translated") -> Dat
         below = lambda u: F.when(u["ex"] == "ass", line).otherwise(u["original"])
         extra = F.transform(F.filter("us", lambda u: u["ex"].isin("srt", "ass")), lambda u: F.concat(F.lit("\n"), below(u)))
         lower = F.coalesce(F.array_join(extra, ""), F.lit(""))
-    joined = joined.withColumn("line", F.concat(F.when(F.col("us").isNull(), line).otherwise(done), lower, F.col("end")))
-    got = joined.groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_index", "line"))).alias("g"))
-    return got.select("file", F.array_join("g.line", "").alias("text"))
+    whole = F.concat(F.when(F.col("us").isNull(), line).otherwise(done), lower, F.coalesce("end", F.lit("")))
+    return put_back(rows, held, "file", "line_index", ["line", "end"], ["us"], whole, "", "text")
 
 
 def rebuild_plain(files: DataFrame, units: DataFrame, mode: str = "translated") -> DataFrame:
-    """file, text: each line that is a unit replaced as a whole by its view."""
-    rows = files.select("file", F.posexplode(F.split("text", "\\r?\\n")).alias("line_index", "line"))
+    """file, text: each line that is a unit replaced as a whole by its view. Null texts stay null."""
+    rows = files.select("file", F.posexplode_outer(F.split("text", "\\r?\\n")).alias("line_index", "line"))
     new = units.select("file", "line_index", view_text(F.col("original"), F.col("translated"), mode).alias("new"))
-    got = rows.join(new, ["file", "line_index"], "left").groupBy("file").agg(F.array_sort(F.collect_list(F.struct("line_index", F.coalesce("new", "line").alias("line")))).alias("g"))
-    return got.select("file", F.array_join("g.line", "\n").alias("text"))
+    return put_back(rows, new, "file", "line_index", ["line"], ["new"], F.coalesce("new", "line"), "\n", "text")
 
 
 def doc_text(units: DataFrame, mode: str, by: tuple[str, ...] = ("file",), order: tuple[str, ...] = ("seq",)) -> DataFrame:

@@ -14,13 +14,13 @@ from glossloom.operators import extract as X
 from glossloom.operators import layout, render
 from glossloom.operators.html import html_units, rebuild_html
 from glossloom.plans.queries import lines_sql, q, s_doc_unit, s_rejection, s_trim
-from glossloom.session import table
+from glossloom.session import spread, table
 from glossloom.sources import office, programs, xp3
 
 
 def plain_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as text files: their lines translated by rule and put back."""
-    files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), "text")
+    files = spread(table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), "text"))
     units = X.extract_files(files).withColumn("translated", F.concat(F.lit("[x] "), F.col("original")))
     return render.rebuild(files, units).select("file", F.sha2("text", 256).alias("sha"), F.length("text").cast("long").alias("chars"))
 
@@ -35,7 +35,7 @@ SELECT doc_id || '.txt' AS file, sha256(text) AS sha, length(text) AS chars FROM
 
 def doc_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as plain documents, in both languages."""
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
+    files = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text"))
     units = X.doc_plain_units(files).withColumn("translated", F.upper(F.substring("original", 1, 1)))
     return render.rebuild_plain(files, units, "bilingual").select("file", F.sha2("text", 256).alias("sha"))
 
@@ -48,18 +48,19 @@ SELECT doc_id AS file, sha256(string_agg(line, chr(10) ORDER BY line_index)) AS
 
 
 def html_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages with every text node in capitals: as many nodes as before, and no other token changes."""
-    pages = table(spark, sf_dir, "pages").select("page_id", "html")
-    units = html_units(pages, "page_id").withColumn("translated", F.concat(F.lit("T"), F.col("seq").cast("string")))
-    out = rebuild_html(pages, units, key="page_id")
-    again = html_units(out, "page_id").groupBy("page_id").agg(F.count("*").alias("nodes"), F.count_if(F.col("original") == F.concat(F.lit("T"), F.col("seq").cast("string"))).alias("replaced"))
-    return again
+    """Pages with their text nodes numbered, by the digest of the page."""
+    pages = spread(table(spark, sf_dir, "pages").select("page_id", "html"))
+    units = html_units(pages, "page_id").withColumn("translated", F.concat(F.lit("<T&"), F.col("seq").cast("string")))
+    return rebuild_html(pages, units, key="page_id").select("page_id", F.sha2("html", 256).alias("sha"), F.length("html").cast("long").alias("chars"))
 
 
 HTML_REBUILD = """
 WITH t AS (SELECT page_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, {token}) AS ts FROM pages)),
-b AS (SELECT page_id, min(i) AS body FROM t WHERE regexp_matches(ts[i], '(?i)^<body\\b') GROUP BY page_id)
-SELECT page_id, count(*) AS nodes, count(*) AS replaced FROM t LEFT JOIN b USING (page_id) WHERE i >= coalesce(body, 0) AND NOT starts_with(ts[i], '<') AND {unit} GROUP BY page_id
+b AS (SELECT page_id, min(i) AS body FROM t WHERE regexp_matches(ts[i], '(?i)^<body\\b') GROUP BY page_id),
+k AS (SELECT page_id, i, ts[i] AS tok, i >= coalesce(body, 0) AND NOT starts_with(ts[i], '<') AND {unit} AS unit FROM t LEFT JOIN b USING (page_id)),
+n AS (SELECT *, sum(CASE WHEN unit THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) - 1 AS seq FROM k),
+p AS (SELECT page_id, string_agg(CASE WHEN unit THEN regexp_extract(tok, '^[ \\t\\n\\x0B\\f\\r]*') || '&lt;T&amp;' || seq || regexp_extract(tok, '[ \\t\\n\\x0B\\f\\r]*\\z') ELSE tok END, '' ORDER BY i) AS html FROM n GROUP BY page_id)
+SELECT page_id, sha256(html) AS sha, length(html) AS chars FROM p
 """
 
 
@@ -121,13 +122,13 @@ CHARSET_DETECT = f"SELECT * FROM (VALUES {', '.join(f'({q(k)}, {q(v)})' for k, v
 
 
 def xp3_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a member of its source's archive, packed and unpacked again."""
-    docs = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("a"), F.col("item_id") % 7).alias("archive"), F.concat(F.col("item_id").cast("string"), F.lit("/t.txt")).alias("rel"), F.encode("text", "UTF-8").alias("content"))
+    """Every document as a member of one of 97 archives, packed and unpacked again."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("a"), F.col("doc_id") % 97).alias("archive"), F.concat(F.col("doc_id").cast("string"), F.lit("/t.txt")).alias("rel"), F.encode("text", "UTF-8").alias("content"))
     packed = xp3.pack_archives(docs).withColumnRenamed("archive", "path")
     return xp3.unpack_archives(packed).select("archive", "rel", F.sha2("content", 256).alias("sha"), "error")
 
 
-XP3_ROUNDTRIP = "SELECT 'a' || (item_id % 7) AS archive, item_id || '/t.txt' AS rel, sha256(text) AS sha, '' AS error FROM benchmark"
+XP3_ROUNDTRIP = "SELECT 'a' || (doc_id % 97) AS archive, doc_id || '/t.txt' AS rel, sha256(text) AS sha, '' AS error FROM documents"
 
 
 def zipped(parts: dict[str, str]) -> bytes:

@@ -11,7 +11,7 @@ from glossloom.functions.predicates import BAD_RESULT, CHINESE_MARKS, CHINESE_WO
 from glossloom.operators import extract as X
 from glossloom.operators import fingerprint, layout, memory, profile, render
 from glossloom.operators.html import ENTITIES, TOKEN, html_units
-from glossloom.session import table
+from glossloom.session import spread, table
 
 
 def q(text: str) -> str:
@@ -70,8 +70,8 @@ def long_ints(df: DataFrame) -> DataFrame:
 
 def doc_units_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: the lines of all documents that need a translation, by language."""
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "lang", "text")
-    units = X.lines(files, "lang").withColumn("original", T.trim(F.col("line"))).filter(is_translatable(F.col("line")))
+    files = spread(table(spark, sf_dir, "documents").select("lang", "text"))
+    units = X.trimmed_lines(files, "lang").filter(is_translatable(F.col("original"), trimmed=True))
     return units.groupBy("lang").agg(F.count("*").alias("units"), F.countDistinct("original").alias("distinct_units"), F.sum(F.length("original")).cast("long").alias("chars"))
 
 
@@ -83,7 +83,7 @@ FROM l WHERE {s_rejection('line')} IS NULL GROUP BY lang
 
 
 def doc_plain_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text")
+    files = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), "text"))
     return long_ints(X.doc_plain_units(files).select("file", "seq", "line_index", "original"))
 
 
@@ -95,18 +95,20 @@ FROM l WHERE {s_doc_unit('line')}
 
 
 def unit_ids_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("pos", "raw"))
-    return long_ints(X.with_occurrence(turns, ["conv_id", "turn", "raw"], "pos").select(F.concat_ws("|", "conv_id", "turn", "occurrence").alias("id"), "pos", "raw"))
+    """All words of all documents, each numbered among its equals in the document."""
+    words = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("pos", "raw"))
+    return long_ints(X.with_occurrence(words, ["doc_id", "raw"], "pos").select(F.concat_ws("|", "doc_id", "pos", "occurrence").alias("id"), "pos", "raw"))
 
 
 UNIT_IDS_OCCURRENCE = """
-WITH w AS (SELECT conv_id, turn, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT conv_id, turn, string_split(text, ' ') AS ws FROM conversations))
-SELECT conv_id || '|' || turn || '|' || (row_number() OVER (PARTITION BY conv_id, turn, ws[i] ORDER BY i) - 1) AS id, i - 1 AS pos, ws[i] AS raw FROM w
+WITH w AS (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, string_split(text, ' ') AS ws FROM documents)),
+r AS (SELECT doc_id, i - 1 AS pos, ws[i] AS raw FROM w)
+SELECT doc_id || '|' || pos || '|' || (row_number() OVER (PARTITION BY doc_id, raw ORDER BY pos) - 1) AS id, pos, raw FROM r
 """
 
 
 def html_text_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_ints(html_units(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id"))
+    return long_ints(html_units(spread(table(spark, sf_dir, "pages").select("page_id", "html")), "page_id"))
 
 
 def s_entities(x: str) -> str:
@@ -125,9 +127,10 @@ SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY node) - 1 AS se
 
 def translatable_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why lines of three tables are no units."""
-    parts = [table(spark, sf_dir, n).select(F.lit(n).alias("tab"), F.explode(F.split("text", "\\r?\\n")).alias("line")) for n in ("documents", "conversations", "benchmark")]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    got = every.select("tab", F.coalesce(rejection(F.col("line")), F.lit("unit")).alias("reason"), is_translatable_doc(F.col("line")).alias("d"), is_pdf_noise(F.col("line")).alias("p"))
+    parts = [spread(table(spark, sf_dir, n).filter("text is not null").select(F.lit(n).alias("tab"), "text")) for n in ("documents", "conversations", "benchmark")]
+    every = X.trimmed_lines(parts[0].unionByName(parts[1]).unionByName(parts[2]), "tab")
+    t = F.col("original")
+    got = every.select("tab", F.coalesce(rejection(t, trimmed=True), F.lit("unit")).alias("reason"), is_translatable_doc(t, trimmed=True).alias("d"), is_pdf_noise(F.col("line")).alias("p"))
     return got.groupBy("tab", "reason").agg(F.count("*").alias("n"), F.count_if("d").alias("doc_units"), F.count_if("p").alias("pdf_noise"))
 
 
@@ -208,7 +211,7 @@ JSON_PROPS = f"SELECT count(*) AS files, CAST(coalesce(sum(len(list_filter(regex
 
 
 def turn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\\r?\\n")).alias("line_index", "line")).withColumn("original", T.trim(F.col("line"))).filter(is_translatable(F.col("line")))
+    return X.trimmed_lines(spread(table(spark, sf_dir, "conversations")), "conv_id", "turn").filter(is_translatable(F.col("original"), trimmed=True))
 
 
 TURN_LINES = f"SELECT role, conv_id, turn, line_index, {s_trim('line')} AS original FROM (SELECT role, conv_id, turn, i - 1 AS line_index, ls[i] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT *, regexp_split_to_array(text, '\\r?\\n') AS ls FROM conversations))) WHERE {s_rejection('line')} IS NULL"
@@ -223,12 +226,12 @@ TM_DEDUPE_RATIO = f"SELECT count(*) AS units, count(DISTINCT original) AS distin
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.explode(F.split("text", "\\r?\\n")).alias("line")).select("doc_id", "lang", T.trim(F.col("line")).alias("original"), F.lit("").alias("translated")).filter("original <> ''")
+    return X.trimmed_lines(spread(table(spark, sf_dir, "documents")), "doc_id", "lang").select("doc_id", "lang", "original", F.lit("").alias("translated")).filter("original <> ''")
 
 
 def tm_hit_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' lines against a memory of the benchmark's: hits and different misses, by language."""
-    m = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "\\r?\\n")).alias("line")).select(F.lit("pseudo").alias("provider"), F.lit("zh-CN").alias("target_lang"), T.trim(F.col("line")).alias("original"), F.concat(F.lit("zh:"), T.trim(F.col("line"))).alias("t"), F.lit(1).cast("long").alias("ts"))
+    m = X.trimmed_lines(table(spark, sf_dir, "benchmark")).select(F.lit("pseudo").alias("provider"), F.lit("zh-CN").alias("target_lang"), "original", F.concat(F.lit("zh:"), "original").alias("t"), F.lit(1).cast("long").alias("ts"))
     got = memory.look_up(doc_lines(spark, sf_dir), m, "pseudo", "zh-CN")
     return got.groupBy("lang").agg(F.count_if(F.col("hit").isNotNull()).alias("hits"), F.count_if(F.col("hit").isNull()).alias("misses"), F.countDistinct(F.when(F.col("hit").isNull(), F.col("original"))).alias("calls"))
 
@@ -253,10 +256,10 @@ TM_TRANSLATE = f"SELECT conv_id, turn, line_index, original, '[fr] ' || original
 
 def tm_evict_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = table(spark, sf_dir, "events").select(F.lit("p").alias("provider"), F.lit("fr").alias("target_lang"), F.col("event_id").cast("string").alias("original"), F.col("event_type").alias("t"), F.floor(epoch_micros(F.col("ts")) / 1000).alias("ts"))
-    return memory.evict_oldest(m, 800, 600).select("original", "t", "ts")
+    return memory.evict_oldest(m).select("original", "t", "ts")
 
 
-TM_EVICT_OLDEST = "SELECT original, t, ts FROM (SELECT CAST(event_id AS VARCHAR) AS original, event_type AS t, epoch_us(ts) // 1000 AS ts, count(*) OVER () AS n FROM events) QUALIFY n <= 800 OR row_number() OVER (ORDER BY ts DESC, original DESC) <= 600"
+TM_EVICT_OLDEST = "SELECT original, t, ts FROM (SELECT CAST(event_id AS VARCHAR) AS original, event_type AS t, epoch_us(ts) // 1000 AS ts, count(*) OVER () AS n FROM events) QUALIFY n <= 20000 OR row_number() OVER (ORDER BY ts DESC, original DESC) <= 15000"
 
 
 def tm_key_djb2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int = 8, app: str = "glossloom", memory: str = "8g") -> SparkSession:
@@ -21,5 +21,17 @@ def local_session(cpus: int = 8, app: str = "glossloom", memory: str = "8g") ->
     )
 
 
+#: Bytes of a table that a core reads at once.
+SPLIT_BYTES = 128 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores where it is too small to fill them: a small file is one row group, and so one task. Larger inputs
+    stay as they are read, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SPLIT_BYTES * cores else df
