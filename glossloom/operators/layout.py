@@ -91,6 +91,15 @@ def ocr_paragraphs(rows: DataFrame) -> DataFrame:
     return got.select("doc_id", seq.alias("seq"), "original", title.alias("title"), "page", F.col("g.box").alias("boxes"))
 
 
+def box_units(images: DataFrame, key: str = "image", boxes: str = "boxes") -> DataFrame:
+    """key, seq, original, box: the boxes of each image's array (structs with text, box, translated, error) that wait for a
+    translation, numbered from 0. Null and empty arrays give none. Numbered in the image's row, without a shuffle."""
+    blank = lambda b, c: F.coalesce(b[c], F.lit("")) == ""
+    waiting = F.filter(boxes, lambda b: blank(b, "translated") & blank(b, "error"))
+    got = images.select(key, F.posexplode_outer(waiting).alias("seq", "b")).filter(F.col("b").isNotNull())
+    return got.select(key, "seq", F.col("b.text").alias("original"), F.col("b.box").alias("box"))
+
+
 def bounding_box(points: Column) -> Column:
     """[x0, y0, x1, y1] of an array of [x, y]."""
     xs, ys = F.transform(points, lambda p: p[0]), F.transform(points, lambda p: p[1])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def percent(done: Column, total: Column) -> Column:
@@ -25,6 +26,15 @@ def totals(units: DataFrame) -> DataFrame:
     return by_file(units)
 
 
+def running_counts(units: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """units with done (how many of the group are worked on so far, this one included), failed (of these) and total, in the
+    given order. A group is one task's: count by file or job, not over a whole corpus."""
+    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy(*by)
+    failed = F.count_if(F.coalesce(F.col("error"), F.lit("")) != "")
+    return units.withColumns({"done": F.count("*").over(so_far), "failed": failed.over(so_far), "total": F.count("*").over(every)})
+
+
 def files_with_units(files: DataFrame, units: DataFrame) -> DataFrame:
     """Files that aren't skipped and have units."""
     return files.filter(~F.coalesce(F.col("skipped"), F.lit(False))).join(units.select("file").distinct(), "file", "left_semi")

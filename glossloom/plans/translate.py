@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +67,35 @@ def translate_office(documents: DataFrame, mem: DataFrame, provider: memory.Prov
     return office.rebuild_office(documents.filter(F.col("doc_type").isin("docx", "xlsx", "pptx", "epub")), new), mem
 
 
+def write_zips(files: DataFrame, folder: str, parts: int = 8, name: str = "file", content: str = "content") -> DataFrame:
+    """Zips of all files in a folder that every executor can write to (a path, or a URI that pyarrow knows): path, files,
+    bytes of each, written when that table is. Each task writes one zip, of a range of names in order; one file at a time is in memory. A zip is written
+    aside and renamed, so a repeated task does no harm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        number = TaskContext.get().partitionId()
+        path, aside, n, size = f"{base}/part-{number:05d}.zip", f"{base}/.part-{number:05d}-{uuid.uuid4().hex}", 0, 0
+        out = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if out is None:
+                    system.create_dir(base, recursive=True)
+                    stream = system.open_output_stream(aside)
+                    out = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+                data = batch.column(1)[i].as_py() or b""
+                out.writestr(batch.column(0)[i].as_py().removeprefix("file:").lstrip("/"), data)
+                n, size = n + 1, size + len(data)
+        if out is not None:
+            out.close()
+            stream.close()
+            system.move(aside, path)
+            yield pa.RecordBatch.from_pydict({"path": [path], "files": [n], "bytes": [size]})
+
+    dealt = files.select(name, content).repartitionByRange(parts, name).sortWithinPartitions(name)
+    return dealt.mapInArrow(run, "path string, files long, bytes long")
+
+
 def write_zip(files: DataFrame, path: str, name: str = "file", content: str = "content") -> int:
     """One zip of all files, in the order of their names; the driver holds one partition of them at a time. Number of files."""
     n = 0

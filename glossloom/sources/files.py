@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from glossloom.functions.charset import read_text
 from glossloom.functions.text import base_name, ext_of
 from glossloom.operators.extract import TEXT_EXT, doc_type_of
-from glossloom.sources.office import office_units
 from glossloom.sources.xp3 import unpack_archives
 
 MEGABYTE = 1024 * 1024
@@ -18,7 +17,7 @@ DEFAULT_MB, ARCHIVE_MARK = 8, "【xp3】"
 def scan(spark: SparkSession, folder: str, max_mb: int = DEFAULT_MB) -> DataFrame:
     """path, name, ext, kind (text, program, archive, document), size, skipped, doc_type, content of all files below.
 
-    Empty text files are left out; larger ones than max_mb are marked as skipped. Order by path for a listing.
+    Empty text files are left out; larger ones than max_mb are marked as skipped.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     name = base_name(F.col("path"))
@@ -29,6 +28,11 @@ def scan(spark: SparkSession, folder: str, max_mb: int = DEFAULT_MB) -> DataFram
     return got.filter(F.col("kind").isNotNull() & ((F.col("kind") != "text") | (F.col("size") > 0)))
 
 
+def listing(files: DataFrame) -> DataFrame:
+    """kind, path, name, ext, size, skipped of all files, by kind and path in the order of bytes, without what they hold."""
+    return files.select("kind", "path", "name", "ext", "size", "skipped").orderBy("kind", "path")
+
+
 def text_files(files: DataFrame) -> DataFrame:
     """file, text, encoding, skipped of text files that aren't skipped."""
     got = files.filter((F.col("kind") == "text") & ~F.col("skipped"))
@@ -45,8 +49,3 @@ def archive_texts(files: DataFrame, max_mb: int = DEFAULT_MB) -> DataFrame:
 def documents(files: DataFrame) -> DataFrame:
     """path, doc_type, content of documents of a known type."""
     return files.filter(F.col("doc_type").isNotNull()).select("path", "doc_type", "content")
-
-
-def document_units(files: DataFrame, target: str = "zh-CN") -> DataFrame:
-    """Units of zip-based documents."""
-    return office_units(documents(files), target)

@@ -1,7 +1,6 @@
 """Rebuilding, memory, archives, documents and programs on small inputs."""
 
 import io
-import struct
 import zipfile
 
 import pytest
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 
 from glossloom.functions import fit
 from glossloom.operators import extract, fingerprint, html, layout, memory, profile, render
+from glossloom.plans.document_queries import small_program
+from glossloom.plans.documents import document_units
 from glossloom.sources import files as file_source
 from glossloom.sources import office, programs, xp3
 
@@ -205,26 +206,8 @@ def test_text_fits_boxes(spark):
     assert fit.with_layout(df, "t", "w", "h").first().layout.lines == ["ab"]
 
 
-def version_node(key, value, children=b"", text=True):
-    raw = key.encode("utf-16-le") + b"\0\0"
-    raw += b"\0" * (-(6 + len(raw)) % 4)
-    body = value.encode("utf-16-le") + b"\0\0" if text and value else b""
-    body += b"\0" * (-len(body) % 4)
-    size = 6 + len(raw) + len(body) + len(children)
-    return struct.pack("<HHH", size, len(value) + 1 if body else 0, int(text)) + raw + body + children
-
-
 def tiny_program():
-    table = version_node("040904b0", "", version_node("ProductName", "My Game") + version_node("CompanyName", "Us"))
-    block = version_node("VS_VERSION_INFO", "", version_node("StringFileInfo", "", table))
-    rsrc = struct.pack("<IIHHHH", 0, 0, 0, 0, 0, 1) + struct.pack("<II", 16, 0x80000018)
-    rsrc += struct.pack("<IIHHHH", 0, 0, 0, 0, 0, 1) + struct.pack("<II", 1, 0x80000030)
-    rsrc += struct.pack("<IIHHHH", 0, 0, 0, 0, 0, 1) + struct.pack("<II", 1033, 0x48)
-    rsrc += struct.pack("<IIII", 0x1000 + 0x58, len(block), 0, 0) + block
-    optional = struct.pack("<H", 0x10B) + b"\0" * 94 + b"\0" * 16 + struct.pack("<II", 0x1000, len(rsrc)) + b"\0" * 104
-    head = b"MZ" + b"\0" * 58 + struct.pack("<I", 64) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x14C, 1, 0, 0, 0, len(optional), 0) + optional
-    at = len(head) + 40
-    return head + b".rsrc\0\0\0" + struct.pack("<IIII", len(rsrc), 0x1000, len(rsrc), at) + b"\0" * 16 + rsrc + b"\0UnityPlayer.dll\0" + "il2cpp".encode("utf-16-le") + b"\0\0\0"
+    return small_program({"ProductName": "My Game", "CompanyName": "Us"}, b"UnityPlayer.dll\0" + "il2cpp".encode("utf-16-le"))
 
 
 def test_programs(spark):
@@ -250,4 +233,34 @@ def test_scan(spark, tmp_path):
     t = file_source.text_files(f).drop("skipped").unionByName(file_source.archive_texts(f).select("file", "text", "encoding"))
     units = extract.extract_files(t)
     assert {r.original for r in units.collect()} == {"Inner line", "中文 and Hello"}
-    assert file_source.document_units(f).count() == 1
+    assert {(r.doc_type, r.original) for r in document_units(file_source.documents(f)).collect()} == {("docx", "One text"), ("plain", "中文 and Hello")}
+    assert [r.name for r in file_source.listing(f).collect()] == ["x.xp3", "d.docx", "a.txt"]
+
+
+def test_null_texts_stay(spark):
+    f = spark.createDataFrame([("a.txt", None), ("b.txt", ""), ("c.txt", "One line\r\n\r\nx y\n")], "file string, text string")
+    u = extract.extract_files(f).withColumn("translated", F.concat(F.lit("T"), "original"))
+    assert {r.file: r.text for r in render.rebuild(f, u).collect()} == {"a.txt": None, "b.txt": "", "c.txt": "TOne line\r\n\r\nTx y\n"}
+    plain = extract.doc_plain_units(f).withColumn("translated", F.lit("T"))
+    assert {r.file: r.text for r in render.rebuild_plain(f, plain).collect()} == {"a.txt": None, "b.txt": "", "c.txt": "T\n\nT\n"}
+    pages = spark.createDataFrame([(1, None), (2, ""), (3, "<p> One text </p>")], "file long, html string")
+    units = html.html_units(pages).withColumn("translated", F.lit("a<b"))
+    assert {r.file: r.html for r in html.rebuild_html(pages, units).collect()} == {1: None, 2: "", 3: "<p> a&lt;b </p>"}
+    assert render.rebuild(f.limit(0), u.limit(0)).count() == 0
+
+
+def test_units_without_their_line_are_left_out(spark):
+    f = spark.createDataFrame([("a", "One line")], "file string, text string")
+    u = spark.createDataFrame([("a", 7, "x", "y"), ("b", 0, "x", "y")], "file string, line_index int, original string, translated string")
+    assert [tuple(r) for r in render.rebuild_plain(f, u).collect()] == [("a", "One line")]
+
+
+def test_box_units(spark):
+    box = "array<struct<text:string,box:array<int>,translated:string,error:string>>"
+    df = spark.createDataFrame([("i", [("a", [1], "", None), ("b", [2], "t", ""), ("c", [3], None, "e"), ("d", [4], None, None)]), ("j", None), ("k", [])], f"image string, boxes {box}")
+    assert [tuple(r) for r in layout.box_units(df).collect()] == [("i", 0, "a", [1]), ("i", 1, "d", [4])]
+
+
+def test_running_counts(spark):
+    df = spark.createDataFrame([("f", i, "e" if i == 1 else None) for i in range(3)], "file string, seq int, error string")
+    assert [(r.done, r.failed, r.total) for r in profile.running_counts(df, ["file"], ["seq"]).orderBy("seq").collect()] == [(1, 0, 3), (2, 1, 3), (3, 1, 3)]

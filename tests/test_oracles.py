@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from glossloom.plans import more_queries
+from glossloom.plans import document_queries, more_queries
 from glossloom.plans import queries as text_queries
 
-QUERIES = text_queries.queries() | more_queries.queries()
-ORACLES = text_queries.oracle_sql() | more_queries.oracle_sql()
+QUERIES = text_queries.queries() | more_queries.queries() | document_queries.queries()
+ORACLES = text_queries.oracle_sql() | more_queries.oracle_sql() | document_queries.oracle_sql()
 SF = "/root/testdata/sf0.001"
 
 
@@ -52,3 +52,12 @@ def test_filters_and_columns_reach_the_scan(spark):
     plan = text_queries.doc_units_by_lang(spark, SF)._jdf.queryExecution().toString()
     assert "ReadSchema: struct<text:string,lang:string>" in plan
     assert "Python" not in plan
+
+
+@pytest.mark.parametrize("name", ["doc_units_by_lang", "doc_plain_units", "html_text_units", "translatable_breakdown", "tm_dedupe_ratio", "plain_rebuild"])
+def test_a_text_is_cut_and_trimmed_once(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    tables = 3 if name == "translatable_breakdown" else 1
+    # plain_rebuild has the expressions of all formats in one plan, of which a line runs one
+    assert plan.count("trim(") <= (18 if name == "plain_rebuild" else 2) * tables
+    assert plan.count("split(text") <= 2 * tables and plan.count("regexp_extract_all(html") <= 2
