@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossloom.llm import stages
-from glossloom.llm.common import new_dir, read_table
+from glossloom.llm.common import delete, new_dir, read_table, scope
 
 STAGES = [
     ("quality", stages.quality_stage),
@@ -19,9 +19,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    """The last stage's table. What the stages wrote on their way, and each table once the next one is written, is deleted."""
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = new_dir(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        with scope(spark):
+            stage(spark, docs, sf_dir).write.parquet(at)
+        if before:
+            delete(spark, before)
+        docs, before = spark.read.parquet(at), at
     return docs
