@@ -179,11 +179,11 @@ def n_covered(spans: DataFrame, name: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, near_share: float = NEAR_SHARE) -> DataFrame:
-    """One row for each document: key (MD5 of its text), doc_id, n_words, n_hit (words inside occurrences), items (ids of
+    """One row for each document: key (MD5 of its text, in hex), doc_id, n_words, n_hit (words inside occurrences), items (ids of
     items with occurring windows, sorted as strings), n_near (items with a near or exact window), n_near_hit (words inside
     near or exact ones), near (of each such item the spans of words where they are, overlapping ones as one: item, start,
     end; sorted), whole (whether a window of full length occurs)."""
-    docs = with_words(docs, text, F.col(doc_id).alias("doc_id"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("key"))
+    docs = with_words(docs, text, F.col(doc_id).alias("doc_id"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("key"))
     groups = written(item_groups(items, item_id, item_text), "items")
     n_words = groups.agg(F.sum(F.size("terms"))).first()[0] or 0
     n_blocks = -(-n_words // BLOCK_WORDS) or 1
@@ -210,7 +210,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     result = written(result.withColumnRenamed("key", "k"), "result")
     return rows.join(result, F.col("key") == F.col("k"), "left").select(
         "doc_id",
-        "key",
+        F.lower(F.hex("key")).alias("key"),
         "n_words",
         F.coalesce("n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

@@ -14,17 +14,14 @@ different words before w, B all different bigrams, and discounts for counts 1, 2
 counts. Texts open with a context of their own and close with an end token. Unknown words get the share of an unseen one.
 
 Cases: null and empty texts are an end token; null ids hash as empty text for the split; repeated rows count as often as
-they come; very long texts are read whole; with nothing to train on every token has probability 1. Ids have 32 bits.
+they come; very long texts are read whole; with nothing to train on every token has probability 1. Ids have 32 bits: more
+different words than that are an error. Counts have 64 bits; of bigrams 32 are stored, and larger ones apart.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossloom.llm.arrays import columns, store
 from glossloom.llm.common import new_dir, written
 
 #: No word holds a space, so this is no word's hash but for a collision.
@@ -40,59 +38,8 @@ END_HASH = xxhash.xxh64_intdigest(b" ", 42)
 CHUNK = 1_500_000
 #: Tokens of a bucket, about.
 BUCKET_TOKENS = 3_000_000
-
-
-# ---- arrays in the shared folder
-
-
-def local_path(uri: str) -> str | None:
-    u = urlparse(uri)
-    return u.path if u.scheme in ("", "file") else None
-
-
-def store(uri: str, arrays: list[np.ndarray]) -> None:
-    """One file with the arrays one after the other; written aside and renamed, so a repeated task does no harm."""
-    path = local_path(uri)
-    if path is None:
-        from pyarrow import fs
-
-        system, path = fs.FileSystem.from_uri(uri)
-        with system.open_output_stream(path) as f:
-            for a in arrays:
-                f.write(a.tobytes())
-        return
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    aside = f"{path}.{os.getpid()}-{os.urandom(4).hex()}"
-    with open(aside, "wb") as f:
-        for a in arrays:
-            f.write(a.tobytes())
-    os.replace(aside, path)
-
-
-@cache
-def mapped(uri: str) -> np.ndarray:
-    """The bytes of a stored file, memory-mapped. From a folder that isn't mounted they are copied to an unnamed file first."""
-    path = local_path(uri)
-    if path is not None:
-        return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.empty(0, np.uint8)
-    from pyarrow import fs
-
-    system, path = fs.FileSystem.from_uri(uri)
-    aside = tempfile.TemporaryFile()
-    with system.open_input_stream(path) as f:
-        while block := f.read(1 << 24):
-            aside.write(block)
-    aside.flush()
-    return np.memmap(aside, np.uint8, "r") if aside.tell() else np.empty(0, np.uint8)
-
-
-def columns(uri: str, n: int, kinds: list[str]) -> list[np.ndarray]:
-    raw, at, out = mapped(uri), 0, []
-    for k in kinds:
-        size = n * np.dtype(k).itemsize
-        out.append(raw[at : at + size].view(k))
-        at += size
-    return out
+#: Bigram counts above are stored apart.
+MOST_STORED = (1 << 32) - 1
 
 
 # ---- sorted runs on their way through the shuffle
@@ -176,6 +123,7 @@ class Model:
     docs: int = 0
     pair_sizes: list[int] = field(default_factory=list)
     context_sizes: list[int] = field(default_factory=list)
+    large: dict = field(default_factory=dict)  # buckets with counts above MOST_STORED, and how many
     shared: dict = field(default_factory=dict)  # the first and last context of each bucket, which may go on in others
     d2: tuple = (0.5, 1.0, 1.5)
     d1: tuple = (0.5, 1.0, 1.5)
@@ -258,6 +206,10 @@ class Model:
             part = keys[edge[b] : edge[b + 1]]
             at = np.minimum(np.searchsorted(stored, part), len(stored) - 1)
             out[edge[b] : edge[b + 1]] = np.where(stored[at] == part, counts[at], 0)
+            if b in self.large:
+                stored, counts = columns(f"{self.at}/large-{b}", self.large[b], ["<u8", "<i8"])
+                at = np.minimum(np.searchsorted(stored, part), len(stored) - 1)
+                out[edge[b] : edge[b + 1]] = np.where(stored[at] == part, counts[at], out[edge[b] : edge[b + 1]])
         return out
 
     def backoff(self, u: np.ndarray) -> np.ndarray:
@@ -343,6 +295,8 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     for b, n, total in got:
         sizes[b], totals[b] = n, total
     model = Model(at, bits, sizes, totals, docs)
+    if model.types >= 1 << 32:
+        raise ValueError(f"{model.types} different words; ids have 32 bits")
     if not model.tokens:
         return model
 
@@ -358,7 +312,10 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     def keep_pairs(table: pa.Table) -> pa.Table:
         keys, counts = merged(table)
         b = table.column("bucket")[0].as_py()
-        store(f"{at}/pair-{b}", [keys, counts.astype("<u4")])
+        large = counts > MOST_STORED
+        store(f"{at}/pair-{b}", [keys, np.minimum(counts, MOST_STORED).astype("<u4")])
+        if large.any():
+            store(f"{at}/large-{b}", [keys[large], counts[large]])
         first = (keys >> np.uint64(32)).astype(np.int64)
         edge = np.concatenate([[0], np.nonzero(np.diff(first))[0] + 1])
         u = first[edge]
@@ -368,7 +325,7 @@ def train(texts: DataFrame, text: str = "text") -> Model:
         w, times = np.unique(keys & np.uint64(0xFFFFFFFF), return_counts=True)
         runs = run_rows(w, times, np.searchsorted(model.bases, w.astype(np.int64), "right") - 1)
         ends = [[int(x) for x in (u[i], n[0][i], n[1][i], n[2][i])] for i in dict.fromkeys((0, len(u) - 1))]
-        stats = [len(keys), len(u), *[int((counts == k).sum()) for k in (1, 2, 3, 4)], *[x for e in ends for x in e]]
+        stats = [len(keys), len(u), int(large.sum()), *[int((counts == k).sum()) for k in (1, 2, 3, 4)], *[x for e in ends for x in e]]
         rows = runs.num_rows
         return pa.table({
             "src": pa.array([b] * (rows + 1), pa.int64()),
@@ -385,8 +342,10 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     of, ends = [0] * 4, {}
     for b, s in stats:
         model.pair_sizes[b], model.context_sizes[b] = s[0], s[1]
-        of = [x + y for x, y in zip(of, s[2:6], strict=True)]
-        for i in range(6, len(s), 4):
+        if s[2]:
+            model.large[b] = s[2]
+        of = [x + y for x, y in zip(of, s[3:7], strict=True)]
+        for i in range(7, len(s), 4):
             ends.setdefault(s[i], []).append(s[i + 1 : i + 4])
     model.shared = {u: [sum(x) for x in zip(*parts, strict=True)] for u, parts in ends.items()}
     model.d2, model.bigrams = discounts(of), sum(model.pair_sizes)

@@ -7,7 +7,8 @@ P(e | t) = n(e, t) / n(t) and P(e) = n(e) / N, the term reveals log2(P(e | t) /
 at least `support` contexts, reveal at least `bits` and reach P(e | t) >= `generalise` are replaced by their class;
 from `remove` on they are removed. Copies of a text or of a context count once.
 
-The terms of one pass are bounded: candidates and flagged terms go to the workers in blocks of BLOCK_TERMS.
+Candidates and flagged terms lie in hash tables in the shared folder, which workers memory-map: however many there are, the
+corpus is read three times (contexts, counts, result), and neither the driver nor a worker holds them.
 
 Cases: null and empty texts have no spans and stay as they are; repeated rows get equal spans; very long texts are read
 whole; an empty table has no entities, no flagged terms and no rows; other columns pass unchanged.
@@ -21,17 +22,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossloom.llm.arrays import HashTable, hash_table
 from glossloom.llm.common import own_name, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 8
 SUPPORT, BITS, GENERALISE, REMOVE = 3, 4.0, 0.5, 0.8
-#: Terms that a worker holds at once.
-BLOCK_TERMS = 100_000
+#: Different terms that a task counts before it sends.
+MOST_COUNTED = 1_000_000
+#: What is done with a term, by the number that hash tables have for it.
+ACTS = ("generalise", "remove")
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -115,41 +120,50 @@ def contexts(text: str | None, context: int = CONTEXT) -> list[dict]:
     return out
 
 
-def with_terms(df: DataFrame, text: str, terms: dict[str, str], old: str | None, out: str) -> DataFrame:
-    """df with the entities' spans and those of the given terms (term -> act); old: the spans of an earlier block."""
+def with_terms(df: DataFrame, text: str, terms: HashTable, out: str) -> DataFrame:
+    """df with the spans of the entities and of the given terms (in lower case, their numbers are places in ACTS)."""
 
     @F.pandas_udf(SPANS)
-    def scan(texts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for batch, before in texts:
+    def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
             rows = []
-            for t, b in zip(batch, before, strict=True):
-                spans = [(s["start"], s["end"], s["kind"], s["act"]) for s in b] if b is not None else [(x, y, k, "replace") for x, y, k in find_entities(t)]
-                if terms and t:
-                    taken = sorted((x, y) for x, y, k, _ in spans if k != "term")
-                    for m in WORD.finditer(t):
-                        act = terms.get(m[0].lower())
-                        if act and not any(x < m.end() and m.start() < y for x, y in taken):
-                            spans.append((*m.span(), "term", act))
+            for t in batch:
+                spans = [(x, y, k, "replace") for x, y, k in find_entities(t)]
+                if terms.sizes and t:
+                    words = list(WORD.finditer(t))
+                    # each different word is looked up once
+                    kinds = {m[0].lower() for m in words}
+                    acts = dict(zip(kinds, terms.find(list(kinds)).tolist(), strict=True))
+                    hits = [m for m in words if acts[m[0].lower()] >= 0]
+                    taken = sorted((x, y) for x, y, _, _ in spans) if hits else []
+                    spans += [(*m.span(), "term", ACTS[acts[m[0].lower()]]) for m in hits if not any(x < m.end() and m.start() < y for x, y in taken)]
                 spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
                 rows.append([{"kind": k, "start": x, "end": y, "act": a} for x, y, k, a in spans])
             yield pd.Series(rows)
 
-    prior = F.col(old) if old else F.lit(None).cast(SPANS)
-    return df.withColumn(out, scan(F.col(text), prior))
+    return df.withColumn(out, scan(F.col(text)))
 
 
-def text_counts(df: DataFrame, text: str, wanted: set[str]) -> DataFrame:
-    """term, n_t: in how many different texts each wanted term occurs. Tasks count before they send."""
+def text_counts(df: DataFrame, text: str, wanted: HashTable) -> DataFrame:
+    """term, n_t: in how many different texts each wanted term occurs. Tasks count before they send. Terms that only share a
+    wanted one's hash are counted, too, and fall out where the counts meet the terms."""
 
     @F.pandas_udf("array<string>")
     def has(texts: pd.Series) -> pd.Series:
-        return pd.Series([sorted(wanted & {w.lower() for w in WORD.findall(t)}) if t else [] for t in texts])
+        rows = []
+        for t in texts:
+            kinds = list({w.lower() for w in WORD.findall(t)}) if t else []
+            rows.append(sorted(kinds[i] for i in np.nonzero(wanted.find(kinds) >= 0)[0]))
+        return pd.Series(rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()
         for pdf in batches:
             for terms in pdf["terms"]:
                 n.update(terms)
+            if len(n) > MOST_COUNTED:
+                yield pd.DataFrame({"term": list(n), "n": list(n.values())}).astype({"term": object, "n": "int64"})
+                n.clear()
         yield pd.DataFrame({"term": list(n), "n": list(n.values())}).astype({"term": object, "n": "int64"})
 
     one = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("id"), has(F.col(text)).alias("terms")).filter(F.size("terms") > 0).dropDuplicates(["id"])
@@ -170,13 +184,7 @@ def disclosing_terms(df: DataFrame, text: str = "text", context: int = CONTEXT,
     # the texts of a term's contexts are some of its texts; where these alone are too many for P(e | t), the rest needs no count
     least = met.select("id", F.explode("terms").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n_least"))
     pairs = written(pairs.join(least, "term").filter(F.col("n_et") >= generalise * F.col("n_least")).drop("n_least"), "pairs")
-    candidates = pairs.select("term").distinct().withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, -(-pairs.count() // BLOCK_TERMS)))))
-    counts = None
-    for words in term_blocks(candidates):
-        got = text_counts(df, text, {w for (w,) in words})
-        counts = got if counts is None else counts.unionByName(got)
-    if counts is None:
-        return pairs.select("term", F.lit(0.0).alias("bits"), F.lit(0.0).alias("p"), F.lit("").alias("act")).filter(F.lit(False))
+    counts = text_counts(df, text, hash_table(pairs.select("term", F.lit(0).alias("v")).distinct(), "term", "v", "candidates"))
     n_texts = df.select(F.md5(F.coalesce(F.col(text), F.lit(""))).alias("id")).distinct().count()
     p = F.least(F.lit(1.0), F.col("n_et") / F.col("n_t"))
     scored = pairs.join(counts, "term").join(per_entity, "entity").select("term", p.alias("p"), F.log2(p / (F.col("n_e") / F.lit(float(max(n_texts, 1))))).alias("bits"))
@@ -184,24 +192,11 @@ def disclosing_terms(df: DataFrame, text: str = "text", context: int = CONTEXT,
     return scored.groupBy("term").agg(F.max("bits").alias("bits"), F.max("p").alias("p")).withColumn("act", F.when(F.col("p") >= remove, "remove").otherwise("generalise"))
 
 
-def term_blocks(terms: DataFrame) -> Iterator[list]:
-    """The first columns of terms (with a column block), a bounded block at a time."""
-    for (block,) in terms.select("block").distinct().orderBy("block").toLocalIterator():
-        yield [tuple(r)[:-1] for r in terms.filter(F.col("block") == block).collect()]
-
-
 def with_private_spans(df: DataFrame, text: str = "text", out: str = "private", **thresholds) -> DataFrame:
     """df with the spans of entities and disclosing terms, and what is to be done with each, under a name of its own if df has a column out."""
     flagged = written(disclosing_terms(df, text, **thresholds), "terms")
-    blocks = flagged.select("term", "act").withColumn("block", F.pmod(F.xxhash64("term"), F.lit(max(1, -(-flagged.count() // BLOCK_TERMS)))))
-    got, name = df, None
-    for rows in term_blocks(blocks):
-        new = own_name(got, out)
-        got = with_terms(got, text, dict(rows), name, new)
-        got, name = (got.drop(name) if name else got), new
-    if name is None:
-        return with_terms(df, text, {}, None, own_name(df, out))
-    return got.withColumnRenamed(name, own_name(df, out))
+    act = F.array_position(F.array(*[F.lit(a) for a in ACTS]), F.col("act")) - 1
+    return with_terms(df, text, hash_table(flagged.select("term", act.alias("v")), "term", "v", "flagged"), own_name(df, out))
 
 
 def sanitised(df: DataFrame, text: str = "text", spans: str = "private", out: str = "clean_text") -> DataFrame:

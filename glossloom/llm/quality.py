@@ -10,6 +10,9 @@ Fitting takes a bounded sample: about FIT_ROWS labelled and POOL_ROWS unlabelled
 each class of a label at least CLASS_ROWS or all there are; the classes' rates are taken out of the result again. It runs on
 the driver over hashed features. All documents are scored, whole.
 
+Each round a view passes on PASSED_ON documents at most; the pool's size is the same at any input, as what the views can
+learn from each other grows slowly with it, and the driver holds it. An id counts once in the sample, however many rows it has.
+
 Cases: null and empty texts, null sources and languages are values like others; null ids can't be labelled; repeated
 labels of an id count once (the lowest), null labels are left out; a label with one class only, or no labels at all,
 gives the share of the good class with no more evidence, and 1 with no labels, so all is kept; a label with fewer than eight
@@ -204,6 +207,12 @@ def picked(doc_id: str, rate: float):
     return place(doc_id) < int(rate * 1_000_000)
 
 
+def one_each(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """For each id the row whose text has the smallest MD5, so that an id with many rows is one document of the sample."""
+    rest = [c for c in docs.columns if c != doc_id]
+    return docs.groupBy(doc_id).agg(F.min_by(F.struct(*rest), F.md5(F.coalesce(F.col(text), F.lit("")))).alias("_r")).select(doc_id, "_r.*")
+
+
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source", names: tuple[str, ...] = ("quality", "toxic"), rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> dict[str, Head]:
     """A classifier for each label column."""
     labelled = labels.filter(F.col(doc_id).isNotNull()).groupBy(doc_id).agg(*[F.min(n).alias(f"y_{n}") for n in names])
@@ -216,9 +225,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     most = F.greatest(F.lit(0), F.lit(0), *[F.when(F.col(f"y_{n}") > 0, b[1]).when(F.col(f"y_{n}") <= 0, b[0]) for n, b in below.items()])
     few = labelled.withColumn("place", place(doc_id)).filter(F.col("place") < most)
     pool = docs.filter(F.col(doc_id).isNotNull() & picked(doc_id, min(1.0, pool_rows / max(1, n_docs))))
-    known = with_features(docs.join(F.broadcast(few), doc_id), text, lang, source).select(doc_id, *[f"y_{n}" for n in names], "place", "f").orderBy(doc_id).collect()
+    known = with_features(one_each(docs.join(F.broadcast(few), doc_id), doc_id, text), text, lang, source).select(doc_id, *[f"y_{n}" for n in names], "place", "f").orderBy(doc_id).collect()
     near = labels.filter(F.col(doc_id).isNotNull() & picked(doc_id, min(1.0, pool_rows / max(1, n_docs)))).select(doc_id)
-    unknown = with_features(pool.join(near, doc_id, "left_anti"), text, lang, source).select(doc_id, "f").orderBy(doc_id).collect()
+    unknown = with_features(one_each(pool.join(near, doc_id, "left_anti"), doc_id, text), text, lang, source).select(doc_id, "f").orderBy(doc_id).collect()
     width = 8 + 2 * HASHED
     meta, pool_meta = (np.frombuffer(b"".join(r["f"]["meta"] for r in rs), np.float64).reshape(-1, width) for rs in (known, unknown))
     sets, pool_sets = ([np.frombuffer(r["f"]["words"], np.int64) for r in rs] for rs in (known, unknown))

@@ -417,10 +417,12 @@ def slow_model(texts):
 def test_language_model_matches_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(knlm, "BUCKET_TOKENS", bucket)
     monkeypatch.setattr(knlm, "CHUNK", 2000 if bucket < 1000 else knlm.CHUNK)
+    monkeypatch.setattr(knlm, "MOST_STORED", 2 if bucket < 1000 else knlm.MOST_STORED)
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()] + WILD
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("score", F.lit("clash"))
     held = lambda i: zlib.crc32(str(i).encode() if i is not None else b"") % 5 == 1
     model = knlm.train(df.filter(~knlm.is_held_out(F.col("doc_id"))))
+    assert bool(model.large) == (bucket < 1000)
     score, total, start = slow_model([t for i, t in docs if not held(i)])
     for u in (start, "the", "the,", "unknown to it"):
         assert total(u) == pytest.approx(1.0)

@@ -1,5 +1,6 @@
 """The classifier on held-out labels, and the pipeline's stages against the operators' own results."""
 
+import math
 from collections import Counter
 
 import numpy as np
@@ -30,6 +31,87 @@ def test_co_training_passes_on_and_uses_both_views():
     assert ((head.probability([word(v) for v in hidden], rng.normal(size=(300, 2)) + 3 * hidden[:, None]) > 0.5) == (hidden > 0)).mean() > 0.98
 
 
+def slow_logistic(x, y, ridge):
+    """Weights that minimise the loss with a ridge penalty, by plain Newton steps; the constant comes last."""
+    x = [[*row, 1.0] for row in x]
+    d = len(x[0])
+    w = [0.0] * d
+    for _ in range(25):
+        p = [1 / (1 + math.exp(-max(-35.0, min(35.0, sum(a * b for a, b in zip(row, w, strict=True)))))) for row in x]
+        pen = [ridge] * (d - 1) + [1e-3]
+        grad = [sum(row[j] * (q - t) for row, q, t in zip(x, p, y, strict=True)) + pen[j] * w[j] for j in range(d)]
+        hess = [[sum(row[i] * row[j] * q * (1 - q) for row, q in zip(x, p, strict=True)) + (pen[i] if i == j else 0) for j in range(d)] for i in range(d)]
+        step = np.linalg.solve(np.array(hess), np.array(grad))
+        w = [a - b for a, b in zip(w, step, strict=True)]
+        if max(abs(step)) < 1e-6:
+            break
+    return w
+
+
+def slow_dot(w, row):
+    return sum(a * b for a, b in zip(w, row, strict=False)) + w[-1]
+
+
+def slow_co_train(sets, meta, y, pool_sets, pool_meta):
+    """The classifier by its description, one document at a time: returns a function from (words, meta) to a probability."""
+    seen, aside = Counter(), []
+    for t in y:
+        seen[t] += 1
+        aside.append(seen[t] % 4 == 0)
+    fit = [i for i in range(len(y)) if not aside[i]]
+    held = [i for i in range(len(y)) if aside[i]]
+    n, gains = len(fit), {}
+    for word in {w for i in fit for w in sets[i]}:
+        cells = Counter((word in sets[i], y[i]) for i in fit)
+        count = sum(c for (has, _), c in cells.items() if has)
+        if quality.LEAST_DOCUMENTS <= count <= n - quality.LEAST_DOCUMENTS:
+            ones = sum(y[i] for i in fit)
+            margin = lambda has, t: (count if has else n - count) * (ones if t else n - ones)  # noqa: E731, B023
+            gains[word] = sum(c / n * math.log(c * n / margin(has, t)) for (has, t), c in cells.items())
+    words = sorted(sorted((w for w in gains if gains[w] > 0), key=lambda w: (-gains[w], w))[: quality.TEXT_FEATURES])
+    rows = {"text": lambda s, m: [1.0 if w in s else 0.0 for w in words], "meta": lambda s, m: list(m)}
+    given = {v: [(rows[v](sets[i], meta[i]), y[i]) for i in fit] for v in rows}
+    free = {v: set(range(len(pool_sets))) for v in rows}
+    share = sum(y[i] for i in fit) / n
+    for k in range(quality.ROUNDS + 1):
+        w = {v: slow_logistic([r for r, _ in given[v]], [t for _, t in given[v]], quality.RIDGE) for v in rows}
+        if k == quality.ROUNDS:
+            break
+        for view, other in (("text", "meta"), ("meta", "text")):
+            scale = slow_logistic([[slow_dot(w[view], rows[view](sets[i], meta[i]))] for i in held], [y[i] for i in held], 1e-2)
+            p = [1 / (1 + math.exp(-slow_dot(scale, [slow_dot(w[view], rows[view](s, m))]))) for s, m in zip(pool_sets, pool_meta, strict=True)]
+            for label in (1.0, 0.0):
+                sure = [q if label else 1 - q for q in p]
+                best = sorted((i for i in free[other] if sure[i] >= quality.SURE), key=lambda i: (-sure[i], i))[: max(1, int(quality.PASSED_ON * (share if label else 1 - share)))]
+                free[other] -= set(best)
+                given[other] += [(rows[other](pool_sets[i], pool_meta[i]), label) for i in best]
+    views = lambda s, m: [slow_dot(w[v], rows[v](s, m)) for v in ("text", "meta")]
+    both = slow_logistic([views(sets[i], meta[i]) for i in held], [y[i] for i in held], 1e-1)
+    return lambda s, m: 1 / (1 + math.exp(-slow_dot(both, views(s, m))))
+
+
+def test_co_training_matches_plain_python():
+    rng = np.random.default_rng(3)
+    made = lambda y: ({1 if rng.random() < 0.2 + 0.6 * y else 2, *map(int, rng.integers(10, 16, 3))}, rng.normal(size=2) + 1.5 * y)
+    y = [float(v) for v in rng.random(120) < 0.4]
+    known, pool = [made(v) for v in y], [made(float(v)) for v in rng.random(60) < 0.4]
+    arrays = lambda rows: ([np.array(sorted(s)) for s, _ in rows], np.array([m for _, m in rows]))
+    head = quality.co_train(*arrays(known), np.array(y), *arrays(pool))
+    slow = slow_co_train([s for s, _ in known], [m for _, m in known], y, [s for s, _ in pool], [m for _, m in pool])
+    assert head.passed_on > 0
+    fresh = [made(float(i % 2)) for i in range(50)]
+    assert head.probability(*arrays(fresh)) == pytest.approx([slow(s, m) for s, m in fresh], abs=1e-6)
+
+
+def test_an_id_with_many_rows_counts_once(spark):
+    rows = [(i, f"{'bad' if i % 2 else 'good'} text number {i}", "en", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    many = docs.unionByName(spark.createDataFrame([rows[0]] * 500 + [rows[50]] * 500, docs.schema))
+    a, b = quality.fit(docs, labels)["quality"], quality.fit(many, labels)["quality"]
+    assert (a.both == b.both).all() and (a.text == b.text).all()
+
+
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
