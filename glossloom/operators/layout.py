@@ -91,6 +91,31 @@ def ocr_paragraphs(rows: DataFrame) -> DataFrame:
     return got.select("doc_id", seq.alias("seq"), "original", title.alias("title"), "page", F.col("g.box").alias("boxes"))
 
 
+def text_layer_rows(lines: DataFrame) -> DataFrame:
+    """Rows from the lines of a text layer (doc_id, page, ord, x0, y0, x1, y1, spans: array of text and size): a line's text is
+    that of its spans, its size their largest. Lines without spans or text are left out; null sizes count as 0."""
+    text = trim(F.array_join(F.transform("spans", lambda s: F.coalesce(s["text"], F.lit(""))), ""))
+    size = F.array_max(F.transform("spans", lambda s: F.coalesce(s["size"], F.lit(0.0)).cast("double")))
+    return lines.select("doc_id", "page", "ord", "x0", "y0", "x1", "y1", size.alias("size"), text.alias("text")).filter(F.coalesce(F.col("text"), F.lit("")) != "")
+
+
+def recognised_rows(results: DataFrame) -> DataFrame:
+    """Rows from recognised text of pages (doc_id, page, ord, polygon: array of points, text): trimmed, without noise, with the
+    box around the polygon."""
+    box = bounding_box(F.col("polygon"))
+    got = results.withColumn("text", trim(F.col("text"))).filter(~is_pdf_noise(F.col("text")))
+    return got.select("doc_id", "page", "ord", *[box[i].cast("double").alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))], "text")
+
+
+def image_boxes(results: DataFrame) -> DataFrame:
+    """image, boxes (box, text, score; in order) from recognised text of images (image, ord, polygon, text, score): trimmed, empty
+    texts left out, boxes rounded to whole numbers (halves to even), scores to three digits."""
+    box = F.transform(bounding_box(F.col("polygon")), lambda v: F.bround(v).cast("int"))
+    got = results.withColumn("text", trim(F.col("text"))).filter(F.coalesce(F.col("text"), F.lit("")) != "")
+    got = got.groupBy("image").agg(F.array_sort(F.collect_list(F.struct("ord", box.alias("box"), "text", F.round("score", 3).alias("score")))).alias("g"))
+    return got.select("image", F.transform("g", lambda b: F.struct(b["box"].alias("box"), b["text"].alias("text"), b["score"].alias("score"))).alias("boxes"))
+
+
 def box_units(images: DataFrame, key: str = "image", boxes: str = "boxes") -> DataFrame:
     """key, seq, original, box: the boxes of each image's array (structs with text, box, translated, error) that wait for a
     translation, numbered from 0. Null and empty arrays give none. Numbered in the image's row, without a shuffle."""

@@ -10,6 +10,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossloom.functions.predicates import is_image_junk, is_pdf_noise, is_translatable, is_translatable_doc
 from glossloom.operators import extract, layout, profile, render
 from glossloom.operators.html import TOKEN
 from glossloom.plans import documents
@@ -108,6 +109,36 @@ def line_rebuilds_sql() -> str:
     return f"SELECT * FROM (VALUES {rows}) v(file, text)"
 
 
+# What the rules say of each line: a unit of a text file, one where lines of Han only are skipped, a unit of a document, noise in a
+# pdf file, junk in an image.
+CASES = [
+    ("Hello", True, True, True, False, False),
+    ("勇者", True, False, True, False, False),
+    ("回復薬", True, False, True, False, False),
+    ("你好世界", False, False, False, False, False),
+    ("这是", False, False, False, False, False),
+    ("こんにちは、", True, True, True, False, False),
+    ("한국어", True, True, True, False, False),
+    ("12:30", False, False, False, False, True),
+    ("http://a.b", False, False, True, False, False),
+    ("/usr/bin", False, False, True, False, False),
+    ("a   b", False, False, True, False, False),
+    ("42", False, False, False, True, True),
+    ("...", False, False, False, True, True),
+    ("", False, False, False, True, True),
+    ("x" * 801, False, False, False, True, False),
+]
+
+
+def line_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(c[0],) for c in CASES], "line string")
+    c = F.col("line")
+    return d.select("line", is_translatable(c).alias("unit"), is_translatable(c, skip_pure_han=True).alias("no_han"), is_translatable_doc(c).alias("doc"), is_pdf_noise(c).alias("noise"), is_image_junk(c).alias("junk"))
+
+
+LINE_CASES = f"SELECT * FROM (VALUES {', '.join(f'({q(c[0])}, {str(c[1:])[1:-1]})' for c in CASES)}) v(line, unit, no_han, doc, noise, junk)"
+
+
 def version_node(key: str, value: str, children: bytes = b"") -> bytes:
     """A node of a version block: sizes, key, padding, value, children."""
     raw = key.encode("utf-16-le") + b"\0\0"
@@ -143,7 +174,7 @@ SELECT * FROM (VALUES ('g/a.exe', 'a.exe', 'My Game', 'Us', '1.2', 'A game', 'Un
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (document_dispatch_units, document_dispatch_rebuild, image_box_units, running_progress, line_rebuilds, program_versions)}
+    return {f.__name__: f for f in (document_dispatch_units, document_dispatch_rebuild, image_box_units, running_progress, line_rebuilds, line_cases, program_versions)}
 
 
 def oracle_sql() -> dict[str, str]:

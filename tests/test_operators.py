@@ -264,3 +264,15 @@ def test_box_units(spark):
 def test_running_counts(spark):
     df = spark.createDataFrame([("f", i, "e" if i == 1 else None) for i in range(3)], "file string, seq int, error string")
     assert [(r.done, r.failed, r.total) for r in profile.running_counts(df, ["file"], ["seq"]).orderBy("seq").collect()] == [(1, 0, 3), (2, 1, 3), (3, 1, 3)]
+
+
+def test_rows_of_text_layers_and_recognised_text(spark):
+    schema = "doc_id string, page int, ord int, x0 double, y0 double, x1 double, y1 double, spans array<struct<text:string,size:double>>"
+    at = (0.0, 1.0, 2.0, 3.0)
+    lines = spark.createDataFrame([("d", 0, 0, *at, [(" One ", 9.0), ("line ", 12.5)]), ("d", 0, 1, *at, []), ("d", 0, 2, *at, None), ("d", 0, 3, *at, [("  ", 9.0), (None, 1.0)]), ("d", 0, 4, *at, [("x", None)])], schema)
+    assert [(r.ord, r.text, r["size"]) for r in layout.text_layer_rows(lines).collect()] == [(0, "One line", 12.5), (4, "x", 0.0)]
+    square = [[1.0, 2.0], [9.5, 2.5], [9.0, 8.0], [0.5, 7.5]]
+    found = spark.createDataFrame([("d", 0, i, square, t, 0.98765) for i, t in enumerate([" Some text ", "42", "-- .", "", None, "x" * 801])], "doc_id string, page int, ord int, polygon array<array<double>>, text string, score double")
+    assert [tuple(r) for r in layout.recognised_rows(found).collect()] == [("d", 0, 0, 0.5, 2.0, 9.5, 8.0, "Some text")]
+    boxes = layout.image_boxes(found.withColumnRenamed("doc_id", "image").filter("length(text) < 99")).first().boxes
+    assert [(list(b.box), b.text, b.score) for b in boxes] == [([0, 2, 10, 8], t, 0.988) for t in ("Some text", "42", "-- .")]
