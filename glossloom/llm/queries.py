@@ -31,6 +31,11 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", *[count_of("secrets", k) for k in secrets.KINDS[:3]], F.sha2(digest_text("secrets", secrets.KINDS[:3]), 256).alias("base_sha256"), digest_text("secrets").alias("spans"), count_of("secrets", "entropy"))
 
 
+def op1_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op1: how many spans of the base kinds the operator finds."""
+    return op1_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -47,12 +52,23 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", knlm.is_held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op5_base_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5: all but the model's own score, the base score to four digits."""
+    got = op5_lm_scoring(spark, sf_dir)
+    return got.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 4).alias("base_score"))
+
+
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     got = pii.with_private_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "private")
     return got.select("doc_id", *[count_of("private", k) for k in pii.KINDS[:4]], F.sha2(digest_text("private", pii.KINDS[:4]), 256).alias("base_sha256"), digest_text("private").alias("spans"), count_of("private", "term"))
 
 
+def op6_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: how many spans of the base kinds the operator finds."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontam.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return got.select(
@@ -99,20 +115,31 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(rows, "size", "source", "key", targets, ["doc_id", "size"]).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def with_edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents by descending id in their ranges, each with its edited text and n_chars."""
+    d = fingerprint.by_descending_id(read_table(spark, sf_dir, "documents"), "doc_id", "text")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), half))
+    return d.withColumns({"edited": edited, "n_chars": n.cast("long")})
+
+
+def op10_edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: the edited texts, and so the order of the documents."""
+    return with_edited(spark, sf_dir).filter("last = 0").select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One shuffle of the texts: fingerprints and neighbours are worked out in each range of ids.
 
     n_near: for the queries, which are the rows with an id divisible by QUERY_STEP, how many other rows have a fingerprint
     in the radius; null for other rows.
     """
-    d = fingerprint.by_descending_id(read_table(spark, sf_dir, "documents"), "doc_id", "text")
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    d = d.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.coalesce(F.col("next_text"), F.lit("")), F.lit(1), half)))
+    d = with_edited(spark, sf_dir)
     # the digest goes along as numbers, which Spark can aggregate by hash
     sha = F.sha2("edited", 256)
     parts = [f"sha{i}" for i in range(8)]
-    d = d.select("rng", "rn", "last", "doc_id", n.cast("long").alias("n_chars"), sha.alias("sha"), "text", "edited")
+    d = d.select("rng", "rn", "last", "doc_id", "n_chars", sha.alias("sha"), "text", "edited")
     d = d.select("rng", "rn", "last", "doc_id", "n_chars", *[F.conv(F.substring("sha", 8 * i + 1, 8), 16, 10).cast("long").alias(parts[i]) for i in range(8)], F.posexplode(F.array("text", "edited")).alias("side", "t"))
     rest = ["last", "doc_id", "n_chars", *parts]
     fps = fingerprint.fingerprints(d, ["rng", "rn", "side"], "t", rest)
@@ -147,6 +174,10 @@ def queries() -> dict:
         "op8_quality_classifier": op8_quality_classifier,
         "op9_mixing": op9_mixing,
         "op10_fingerprints": op10_fingerprints,
+        "op1_base_counts": op1_base_counts,
+        "op5_base_scores": op5_base_scores,
+        "op6_base_counts": op6_base_counts,
+        "op10_edited_texts": op10_edited_texts,
     }
 
 
@@ -200,22 +231,78 @@ def s_part(x: str, at: int) -> str:
     return f"CAST('0x' || substr(md5({x}), {at}, 8) AS BIGINT)"
 
 
-def op3_sql() -> str:
-    """CRC-32 goes byte by byte with a table made by its rule; the shards' constants come from their rule."""
+def any_case(words: str) -> str:
+    """A pattern for the words with letters in either case, of ASCII only."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+OP1_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(t, '(?:{any_case('password|passwd|secret|token|api_?key')})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 6)) AS n_assign,
+  len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20)) AS n_access,
+  len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda v: length(v) >= 24)) AS n_hex
+FROM d
+"""
+
+OP6_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+  list_transform(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: string_split(x, '.')) AS ips,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards,
+  list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones FROM d)
+SELECT doc_id, n_email,
+  len(list_filter(ips, lambda ps: len(list_filter(ps, lambda p: length(ltrim(p, '0')) > 3 OR coalesce(TRY_CAST(p AS BIGINT), 999) > 255)) = 0)) AS n_ip,
+  len(list_filter(cards, lambda c: length(c) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(c)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(c[length(c) - i] AS INTEGER) WHEN CAST(c[length(c) - i] AS INTEGER) > 4 THEN 2 * CAST(c[length(c) - i] AS INTEGER) - 9 ELSE 2 * CAST(c[length(c) - i] AS INTEGER) END)) % 10 = 0)) AS n_card,
+  len(list_filter(phones, lambda c: length(c) BETWEEN 9 AND 15)) AS n_phone
+FROM m
+"""
+
+OP10_EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nxt FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, md5(t)))
+SELECT doc_id, n AS n_chars, sha256(substr(t, 1, n - n // 2) || substr(nxt, 1, n // 2)) AS edited_sha256 FROM n
+"""
+
+
+def crc_table() -> str:
+    """The table of CRC-32 by its rule, eight hex digits an entry: SQL looks a string up faster than a list."""
     table = []
     for c in range(256):
         for _ in range(8):
             c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
         table.append(c)
-    text = "".join(f"{c:08x}" for c in table)  # a string is looked up faster than a list
-    crc = f"xor(c >> 8, CAST('0x' || substr('{text}', (xor(c, b) & 255) * 8 + 1, 8) AS BIGINT))"
+    return "".join(f"{c:08x}" for c in table)
+
+
+def s_crc(array: str) -> str:
+    """CRC-32 of an array of bytes."""
+    step = f"xor(c >> 8, CAST('0x' || substr('{crc_table()}', (xor(c, b) & 255) * 8 + 1, 8) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {array}), lambda c, b: {step}), 4294967295)"
+
+
+def op5_base_sql() -> str:
+    digits = "list_transform(regexp_extract_all(hex(encode(coalesce(CAST(doc_id AS VARCHAR), ''))), '..'), lambda v: CAST('0x' || v AS BIGINT))"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {s_crc(digits)} % 5 = 1 AS held_out, list_append(regexp_extract_all({low}, '[^\x20\x09-\x0D]+'), '') AS ws FROM documents),
+t AS (SELECT r, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+a AS (SELECT CAST(coalesce(sum(c), 0) AS BIGINT) AS n, count(*) AS v FROM c),
+s AS (SELECT r, count(*) AS n_tokens, count(c.c) AS n_known, sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (a.n + 0.5::DOUBLE * (a.v + 1)))) AS base FROM t LEFT JOIN c USING (w), a GROUP BY r)
+SELECT doc_id, held_out, n_tokens, n_known, a.n AS train_tokens, round(base, 4) AS base_score FROM d JOIN s USING (r), a
+"""
+
+
+def op3_sql() -> str:
+    """CRC-32 goes byte by byte with a table made by its rule; the shards' constants come from their rule."""
     shards = ", ".join(str((i, *sharding.shard_constants(i))) for i in range(SHARDS + 1))
     p = sharding.PRIME
     return f"""
 WITH d AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
 b AS (SELECT doc_id, k, len(h) // 2 + 16 AS size, list_transform(regexp_extract_all(h, '..'), lambda v: CAST('0x' || v AS BIGINT)) AS bs FROM d),
 r AS (SELECT doc_id, size, {s_part('k', 1)} % {p} AS x, {s_part('k', 9)} % {p} AS y,
-  xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda c, b: {crc}), 4294967295) AS text_crc32 FROM b),
+  {s_crc('bs')} AS text_crc32 FROM b),
 w AS (SELECT *, row_number() OVER () AS n FROM r),
 z AS (SELECT w.n, i, (x * a + y * b % {p} + c) % {p} AS z, x FROM w, (VALUES {shards}) s(i, a, b, c)),
 s AS (SELECT n, i, (z * z + x) % {p} AS z FROM z),
@@ -248,4 +335,5 @@ SELECT doc_id, source, size, source_size, target, CAST(size * (e + CASE WHEN s <
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op3_sharding": op3_sql(), "op9_mixing": op9_sql(), "op4_chat_formatting": OP4_SQL}
+    base = {"op1_base_counts": OP1_BASE_SQL, "op5_base_scores": op5_base_sql(), "op6_base_counts": OP6_BASE_SQL, "op10_edited_texts": OP10_EDITED_SQL}
+    return base | {"op2_decontamination": OP2_SQL, "op3_sharding": op3_sql(), "op9_mixing": op9_sql(), "op4_chat_formatting": OP4_SQL}

@@ -97,9 +97,23 @@ def test_near_matches_with_the_rarest_words_edited(spark, monkeypatch):
             assert (r.n_near, r.n_near_hit) == (len(spans), len(set().union(*spans.values())))
 
 
-def test_decontamination_runs_no_python(spark):
-    plan = queries.op2_decontamination(spark, SF)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+def no_python(monkeypatch, *modules):
+    """From now on the tables that the modules write, too, must come from plans without Python. Returns the check."""
+    seen = []
+
+    def check(df):
+        seen.append(df._jdf.queryExecution().toString())
+        assert not re.search("Python|Pandas|Arrow|MapPartitions", seen[-1])
+
+    for m in modules:
+        monkeypatch.setattr(m, "written", lambda df, tag, f=m.written: (check(df), f(df, tag))[1])
+    return check, seen
+
+
+def test_decontamination_runs_no_python(spark, monkeypatch):
+    check, seen = no_python(monkeypatch, decontam)
+    check(queries.op2_decontamination(spark, SF))
+    assert len(seen) > 4
 
 
 # ---- sharding
@@ -355,10 +369,12 @@ def test_ranges_of_ids(spark, monkeypatch, ids):
     assert {r.text: r.next_text for r in got} == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
-def test_fingerprint_query(spark):
+def test_fingerprint_query(spark, monkeypatch):
     docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
+    check, seen = no_python(monkeypatch, queries)
     df = queries.op10_fingerprints(spark, SF)
-    assert not re.search("Python|Pandas|Arrow", df._jdf.queryExecution().toString())
+    check(df)
+    assert len(seen) > 1
     got = {r.doc_id: r for r in df.collect()}
     for i, (d, t) in enumerate(docs):
         nxt = docs[(i + 1) % len(docs)]

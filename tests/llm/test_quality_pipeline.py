@@ -201,3 +201,27 @@ def test_pipeline_against_its_operators(spark):
     assert all(shards.setdefault(r.doc_id, r.shard) == r.shard for r in final)
     result = corpus_pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.shard) for r in result.collect()) == sorted((r.doc_id, r.shard) for r in final)
+
+
+@pytest.mark.parametrize("empty", ["", "labels", "documents labels benchmark"])
+def test_pipeline_of_odd_tables(spark, wild, tmp_path, empty):
+    tables = {
+        "documents": wild,
+        "labels": spark.createDataFrame([(5, 1, 0), (5, 0, 0), (None, 1, 1), (9, None, None)], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, None), (1, ""), (None, "other words altogether")], "item_id long, text string"),
+    }
+    for name, df in tables.items():
+        (df.limit(0) if name in empty.split() else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == [*wild.columns, "shard"]
+    texts = {r.text for r in got.collect()}
+    # the labels' only class is low quality, which rejects all; without labels all are kept, but for the benchmark's and those without words
+    assert texts == ({wild.first().text, "some more text of its own"} if empty == "labels" else set())
+
+
+def test_long_texts_are_fitted_and_scored(spark):
+    rows = [(i, ("plain words and more " if i % 2 else "@@ ## zz ") * (20_000 if i < 4 else 5), "en", "s") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    got = quality.classify(docs, quality.fit(docs, labels)).filter(quality.is_kept())
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == list(range(1, 40, 2))
