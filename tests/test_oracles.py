@@ -6,11 +6,11 @@ import os
 import duckdb
 import pytest
 
-from glossloom.plans import document_queries, more_queries
+from glossloom.plans import document_queries, more_queries, step_queries
 from glossloom.plans import queries as text_queries
 
-QUERIES = text_queries.queries() | more_queries.queries() | document_queries.queries()
-ORACLES = text_queries.oracle_sql() | more_queries.oracle_sql() | document_queries.oracle_sql()
+QUERIES = text_queries.queries() | more_queries.queries() | document_queries.queries() | step_queries.queries()
+ORACLES = text_queries.oracle_sql() | more_queries.oracle_sql() | document_queries.oracle_sql() | step_queries.oracle_sql()
 SF = "/root/testdata/sf0.001"
 
 
