@@ -96,7 +96,8 @@ FROM l WHERE {s_doc_unit('line')}
 
 def unit_ids_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all documents, each numbered among its equals in the document."""
-    words = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("pos", "raw"))
+    docs = spread(table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text"))
+    words = docs.select("doc_id", F.posexplode_outer(F.split("text", " ")).alias("pos", "raw"))
     return long_ints(X.with_occurrence(words, ["doc_id", "raw"], "pos").select(F.concat_ws("|", "doc_id", "pos", "occurrence").alias("id"), "pos", "raw"))
 
 
