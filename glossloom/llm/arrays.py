@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from urllib.parse import urlparse
 
@@ -22,6 +22,8 @@ from glossloom.llm.common import new_dir
 
 #: Keys of a bucket of a HashTable, about.
 BUCKET_KEYS = 1_000_000
+#: Words that workers hold as they are.
+MOST_HELD = 50_000
 
 
 def local_path(uri: str) -> str | None:
@@ -81,16 +83,29 @@ def hash_of(word: str) -> int:
 
 @dataclass
 class HashTable:
-    """Words by hash, each with a number from 0 up; in buckets by the hash's first bits."""
-
-    at: str
-    bits: int
-    sizes: dict[int, int]
-
-    def find(self, words: list[str]) -> np.ndarray:
+    """Different words, each with a number from 0 up. Few words go to the workers as they are (held); more lie in the shared
+    folder by hash, in buckets by the hash's first bits."""
+
+    at: str = ""
+    bits: int = 0
+    sizes: dict[int, int] = field(default_factory=dict)
+    held: dict[str, int] = field(default_factory=dict)
+
+    def __bool__(self) -> bool:
+        return bool(self.sizes or self.held)
+
+    def among(self, words: set[str]) -> dict[str, int]:
+        """Those of the words that are in the table, with their numbers."""
+        if not self.sizes:
+            return {w: self.held[w] for w in self.held.keys() & words}
+        some = list(words)
+        values = self.look_up(some)
+        return {some[i]: int(values[i]) for i in np.nonzero(values >= 0)[0]}
+
+    def look_up(self, words: list[str]) -> np.ndarray:
         """The words' numbers, -1 for words that aren't there."""
         out = np.full(len(words), -1, np.int64)
-        if not words or not self.sizes:
+        if not words:
             return out
         hashes = np.array([hash_of(w) for w in words], np.uint64)
         bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(hashes), np.int64)
@@ -104,10 +119,14 @@ class HashTable:
 
 
 def hash_table(words: DataFrame, word: str, value: str, tag: str) -> HashTable:
-    """A table of words (different ones) and their numbers. Buckets are written by tasks; the driver gets their sizes."""
+    """A table of words (different ones) and their numbers. Up to MOST_HELD words come to the driver; with more, buckets are
+    written by tasks and the driver gets their sizes."""
     spark = words.sparkSession
+    n = words.count()
+    if n <= MOST_HELD:
+        return HashTable(held={w: v for w, v in words.select(word, F.col(value).cast("long")).collect()})
     at = new_dir(spark, tag)
-    bits = max(0, int(np.ceil(np.log2(max(1, words.count() / BUCKET_KEYS)))))
+    bits = max(0, int(np.ceil(np.log2(n / BUCKET_KEYS))))
     bucket = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
 
     def keep(table: pa.Table) -> pa.Table:

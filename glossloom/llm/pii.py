@@ -7,8 +7,8 @@ P(e | t) = n(e, t) / n(t) and P(e) = n(e) / N, the term reveals log2(P(e | t) /
 at least `support` contexts, reveal at least `bits` and reach P(e | t) >= `generalise` are replaced by their class;
 from `remove` on they are removed. Copies of a text or of a context count once.
 
-Candidates and flagged terms lie in hash tables in the shared folder, which workers memory-map: however many there are, the
-corpus is read three times (contexts, counts, result), and neither the driver nor a worker holds them.
+However many candidates and flagged terms there are, the corpus is read three times (contexts, counts, result): up to MOST_HELD
+of them go to the workers as they are, more lie in hash tables in the shared folder, which workers memory-map.
 
 Cases: null and empty texts have no spans and stay as they are; repeated rows get equal spans; very long texts are read
 whole; an empty table has no entities, no flagged terms and no rows; other columns pass unchanged.
@@ -22,7 +22,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,13 +128,11 @@ def with_terms(df: DataFrame, text: str, terms: HashTable, out: str) -> DataFram
             rows = []
             for t in batch:
                 spans = [(x, y, k, "replace") for x, y, k in find_entities(t)]
-                if terms.sizes and t:
-                    words = list(WORD.finditer(t))
-                    # each different word is looked up once
-                    kinds = {m[0].lower() for m in words}
-                    acts = dict(zip(kinds, terms.find(list(kinds)).tolist(), strict=True))
-                    hits = [m for m in words if acts[m[0].lower()] >= 0]
-                    taken = sorted((x, y) for x, y, _, _ in spans) if hits else []
+                # each different word is looked up once
+                acts = terms.among({w.lower() for w in WORD.findall(t)}) if terms and t else {}
+                if acts:
+                    hits = [m for m in WORD.finditer(t) if m[0].lower() in acts]
+                    taken = [(x, y) for x, y, _, _ in spans]
                     spans += [(*m.span(), "term", ACTS[acts[m[0].lower()]]) for m in hits if not any(x < m.end() and m.start() < y for x, y in taken)]
                 spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
                 rows.append([{"kind": k, "start": x, "end": y, "act": a} for x, y, k, a in spans])
@@ -150,11 +147,7 @@ def text_counts(df: DataFrame, text: str, wanted: HashTable) -> DataFrame:
 
     @F.pandas_udf("array<string>")
     def has(texts: pd.Series) -> pd.Series:
-        rows = []
-        for t in texts:
-            kinds = list({w.lower() for w in WORD.findall(t)}) if t else []
-            rows.append(sorted(kinds[i] for i in np.nonzero(wanted.find(kinds) >= 0)[0]))
-        return pd.Series(rows)
+        return pd.Series([sorted(wanted.among({w.lower() for w in WORD.findall(t)})) if t and wanted else [] for t in texts])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter[str] = Counter()

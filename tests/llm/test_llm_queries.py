@@ -10,7 +10,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from glossloom.llm import knlm, pii, queries, secrets
+from glossloom.llm import arrays, knlm, pii, queries, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -127,7 +127,9 @@ def slow_private_terms(texts):
     return acts
 
 
-def test_pii_query(spark, own_tables):
+@pytest.mark.parametrize("held", [arrays.MOST_HELD, 0])
+def test_pii_query(spark, own_tables, monkeypatch, held):
+    monkeypatch.setattr(arrays, "MOST_HELD", held)
     at, rows = own_tables
     flagged = slow_private_terms([t for _, t in rows])
     # one of seven texts with the word is no context of the address
@@ -160,3 +162,14 @@ def test_empty_tables_give_no_rows(spark, tmp_path, name):
     for t in ("documents", "benchmark", "labels"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(("held", "bucket"), [(50_000, 10), (0, 1_000_000), (0, 10)])
+def test_hash_tables(spark, monkeypatch, held, bucket):
+    monkeypatch.setattr(arrays, "MOST_HELD", held)
+    monkeypatch.setattr(arrays, "BUCKET_KEYS", bucket)
+    words = [f"wörd{i}" for i in range(200)]
+    table = arrays.hash_table(spark.createDataFrame([(w, i) for i, w in enumerate(words)], "w string, v int"), "w", "v", "test")
+    assert bool(table.held) == bool(held) and len(table.sizes) == (0 if held else 1 if bucket > 10 else len(table.sizes))
+    assert table.among({*words[::3], "other", ""}) == {w: 3 * i for i, w in enumerate(words[::3])}
+    assert not arrays.hash_table(spark.createDataFrame([], "w string, v int"), "w", "v", "test")
