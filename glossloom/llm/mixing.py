@@ -84,7 +84,7 @@ def mix(df: DataFrame, size: str, source: str, key: str, targets: DataFrame, tie
     """df with source_size, target and taken (words, repeats counted), under names of their own if df has such columns.
     df is narrow: no texts.
 
-    key: the exponential key, above 0; tie: columns that order equal keys, and with them name all that tells rows apart.
+    key: the exponential key, above 0 (rows with another one, or null, come first, in its order); tie: columns that order equal keys, and with them name all that tells rows apart.
     """
     block, total, before, inside, epochs, fill, n, i, of, per = (own_name(df, x) for x in ("_block", "_total", "_before", "_inside", "_epochs", "_fill", "_n", "_i", "_of", "_per"))
     source_size, target, taken = (own_name(df, x) for x in ("source_size", "target", "taken"))
@@ -97,7 +97,7 @@ def mix(df: DataFrame, size: str, source: str, key: str, targets: DataFrame, tie
     got = got.join(t, F.col(source).eqNullSafe(F.col(of))).drop(of)
     got = got.withColumn(epochs, F.when(F.col(source_size) > 0, F.floor(F.col(target) / F.col(source_size))).otherwise(0).cast("long"))
     got = got.withColumn(fill, F.col(target) - F.col(epochs) * F.col(source_size))
-    got = got.withColumn(block, F.floor(F.log(key) * steps).cast("long"))
+    got = got.withColumn(block, F.coalesce(F.floor(F.log(key) * steps).cast("long"), F.lit(-(1 << 62))))
     sums = got.groupBy(source, block).agg(F.sum(F.col(size) * F.col(n)).alias(total))
     earlier = Window.partitionBy(source).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn(before, F.coalesce(F.sum(total).over(earlier), F.lit(0))).withColumnsRenamed({source: of, block: per})
