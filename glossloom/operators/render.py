@@ -88,7 +88,8 @@ def put_back(pieces: DataFrame, edits: DataFrame, key: str, at: str, of_piece: l
     of_edit of one piece; where a piece has no edit, these are null.
 
     Pieces and edits are dealt by key in one shuffle of both; a key's pieces meet their edits and are joined where they lie. A
-    key whose only piece has a null place had a null text, and gets one back. Edits without a piece are left out.
+    key whose only piece has a null place had a null text, and gets one back. Edits without a piece are left out. Keys must be
+    different: pieces of two texts with one key would mix.
     """
     here = F.lit(True)
     none = [F.lit(None).cast(t).alias(c) for c, t in edits.dtypes if c in of_edit]
