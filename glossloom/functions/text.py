@@ -14,12 +14,23 @@ KANA = "[\\x{3040}-\\x{30FF}\\x{FF61}-\\x{FF9F}]"
 KANA_HANGUL = "[\\x{3040}-\\x{30FF}\\x{AC00}-\\x{D7AF}]"
 CJK_WIDE = "[\\x{4E00}-\\x{9FFF}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}]"
 DIGITS36 = "0123456789abcdefghijklmnopqrstuvwxyz"
+#: Letters with a capital of one character for which Spark's upper gives several: ß, and Greek letters with an iota below.
+CAPITALS = {"ß": "\u1e9e", "\u1fb3": "\u1fbc", "\u1fc3": "\u1fcc", "\u1ff3": "\u1ffc"} | {chr(c): chr(c + 8) for a in (0x1F80, 0x1F90, 0x1FA0) for c in range(a, a + 8)}
+#: Letters whose capitals came with Unicode 16: upper has them or not by the version of its library.
+NEW_CAPITALS = "\u019b\u0264\u1c8a\ua7cd\ua7db" + "".join(map(chr, range(0x10D70, 0x10D86)))
 
 
 def trim(s: Column) -> Column:
     return F.btrim(s, F.lit(WHITE))
 
 
+def capital(ch: Column) -> Column:
+    """One character's capital as one character. What has none stays as it is (ŉ and ligatures have several), and so do
+    letters whose capital came with Unicode 16."""
+    up = F.upper(ch)
+    return F.when((F.length(up) == 1) & ~ch.isin(*NEW_CAPITALS), up).otherwise(F.translate(ch, "".join(CAPITALS), "".join(CAPITALS.values())))
+
+
 def han_count(s: Column) -> Column:
     return F.regexp_count(s, F.lit(HAN))
 

@@ -61,3 +61,17 @@ def test_a_text_is_cut_and_trimmed_once(spark, name):
     # plain_rebuild has the expressions of all formats in one plan, of which a line runs one
     assert plan.count("trim(") <= (18 if name == "plain_rebuild" else 2) * tables
     assert plan.count("split(text") <= 2 * tables and plan.count("regexp_extract_all(html") <= 2
+
+
+def test_doc_rebuild_matches_sql_for_all_letters_and_null_texts(spark, tmp_path):
+    from glossloom.functions.text import NEW_CAPITALS
+
+    letters = [c for c in map(chr, range(0x110000)) if c.upper() != c or c.lower() != c or c in NEW_CAPITALS]
+    texts = [None, "", "ß\r\n\n ßa", *[f"{c}b" for c in letters]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = {r.file: r.sha for r in QUERIES["doc_rebuild"](spark, str(tmp_path)).collect()}
+    want = dict(c.execute(ORACLES["doc_rebuild"]).fetchall())
+    assert {texts[k]: (got.get(k), want.get(k)) for k in got.keys() | want.keys() if got.get(k, "no row") != want.get(k, "no row")} == {}
+    assert len(got) == len(texts) - 1
